@@ -148,6 +148,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(first[0].unionAll(first[1])), "doc_id")
 
 
+def calibrated(raw: np.ndarray, target: np.ndarray, share: np.ndarray) -> tuple[float, float]:
+    """Platt's slope and shift: smoothed targets, and Newton's steps halved until the loss falls."""
+    good, bad = target.sum(), (1 - target).sum()
+    goal = np.where(target == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+    spread = raw.std() or 1.0
+    x = np.stack([raw / spread, np.ones_like(raw)])
+
+    def loss(c: np.ndarray) -> float:
+        z = c @ x
+        return float((share * (np.logaddexp(0, z) - goal * z)).sum())
+
+    c, now = np.zeros(2), loss(np.zeros(2))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(c @ x, -50, 50)))
+        step = np.linalg.solve((x * (share * p * (1 - p))) @ x.T + 1e-9 * np.eye(2), x @ (share * (p - goal)))
+        while (after := loss(c - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if now - after < 1e-12:
+            break
+        c, now = c - step, after
+    return float(c[0] / spread), float(c[1])
+
+
 def train(sample: DataFrame, rounds: int = 60, penalty: float = 1e-4) -> QualityModel | None:
     """Fit on four fifths of the sample, calibrate (by a line through the logit) on the rest. Texts become frequencies
     in tasks; the driver holds the frequencies of the bounded sample."""
@@ -193,14 +216,7 @@ def train(sample: DataFrame, rounds: int = 60, penalty: float = 1e-4) -> Quality
     at, v, row, target = joined(held)
     raw = np.bincount(row, v * w[at], len(target)) + bias
     share = np.where(target == 1, 0.5 / max(target.sum(), 1), 0.5 / max((1 - target).sum(), 1))
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton's steps of the calibration
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -50, 50)))
-        g = np.array([(share * (p - target) * raw).sum() + 1e-3 * (a - 1), (share * (p - target)).sum()])
-        q = share * p * (1 - p) + 1e-9
-        hessian = np.array([[(q * raw * raw).sum() + 1e-3, (q * raw).sum()], [(q * raw).sum(), q.sum()]])
-        step = np.clip(np.linalg.solve(hessian, g), -1, 1)
-        a, b = a - step[0], b - step[1]
+    a, b = calibrated(raw, target, share)
     return QualityModel(w.astype(np.float32), float(bias), float(a), float(b))
 
 
