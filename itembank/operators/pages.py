@@ -37,7 +37,8 @@ def recovered(pages: DataFrame) -> DataFrame:
     on choices go back to the stem. Steps are columns of their own, so none is computed twice."""
     out = pages.withColumn("prepared", marked_up(protect_temperatures(strip_footer(F.col("cleaned")))))
     number = F.coalesce(F.col("item").cast("string"), F.lit(r"\d{1,3}"))
-    before = F.regexp_extract("prepared", F.concat(F.lit(r"(?s)^(.*?)(?:^|\n)\s*"), number, F.lit(r"\.\s+(?=[A-Z0-9])")), F.lit(1))
+    marker = F.concat(F.lit(r"(?s)^(.*?)(?:^|\n)\s*"), number, F.lit(r"\.\s+(?=[A-Z0-9])"))
+    before = F.call_function("regexp_extract", F.col("prepared"), marker, F.lit(1))
     found = F.regexp_like("prepared", F.concat(F.lit(r"(?:^|\n)\s*"), number, F.lit(r"\.\s+(?=[A-Z0-9])")))
     out = out.withColumns({"before": F.when(found, before), "after": F.when(found, F.substr(F.col("prepared"), F.length(before) + 1))})
     out = out.withColumn("after", strip_explanation(sub(trim(F.col("after")), [(r"^\s*\d{1,3}\.\s+", "")])))
