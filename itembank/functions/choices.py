@@ -141,7 +141,7 @@ def normalize_choices(choices: Column) -> Column:
 
         return _taken(retext(choices, tidy), keep, stop)
 
-    return F.transform(F.array(is_grid(choices)), over)[0]
+    return once(is_grid(choices), over)
 
 
 def repair_two_columns(choices: Column) -> Column:
@@ -194,7 +194,16 @@ def sort_choices(choices: Column) -> Column:
 def pad_choices(choices: Column, last: Column | str = "E") -> Column:
     """A to last, with empty text for a label that is missing; other labels go."""
     end = F.ascii(last if isinstance(last, Column) else F.lit(last))
-    return F.transform(F.sequence(F.lit(65), end), lambda k: F.coalesce(F.element_at(F.concat(F.array(choice(F.chr(k.cast("long")), F.lit(""))), F.filter(choices, lambda c: c["label"] == F.chr(k.cast("long")))), -1), choice(F.chr(k.cast("long")), F.lit(""))))
+
+    def padded(given: Column) -> Column:
+        def at(k: Column) -> Column:
+            label = F.chr(k.cast("long"))
+            found = F.try_element_at(F.filter(given, lambda c: c["label"] == label), F.lit(-1))
+            return choice(label, F.coalesce(found["text"], F.lit("")))
+
+        return F.transform(F.sequence(F.lit(65), end), at)
+
+    return once(choices, padded)
 
 
 def expand_table(choices: Column, source: Column) -> Column:

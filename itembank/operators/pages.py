@@ -50,7 +50,7 @@ def recovered(pages: DataFrame) -> DataFrame:
     out = out.withColumn("merged", split_merged(F.col("raw.choices")))
     out = out.withColumn("listed", drop_explaining(F.col("merged")))
     out = out.withColumn("repaired", repair_two_columns(F.col("listed")))
-    out = out.withColumn("tidied", normalize_choices(last_real(F.col("repaired"))))
+    out = out.withColumn("tidied", once(last_real(F.col("repaired")), normalize_choices))
     out = out.withColumn("peeled", F.transform("tidied", lambda c: F.struct(c["label"].alias("label"), peel_lab_tail(c["text"]).alias("cut"))))
     out = out.withColumn("choices", sort_choices(F.transform("peeled", lambda c: choice(c["label"], c["cut"]["text"]))))
     tails = F.filter(F.transform("peeled", lambda c: c["cut"]["tail"]), lambda t: t != "")
@@ -67,8 +67,10 @@ def _read(pages: DataFrame, footer: bool) -> DataFrame:
     raw = pages.select("set_id", "page_number", clean_page_text(F.coalesce("text", F.lit(""))).alias("raw"))
     cleaned = strip_chrome(F.col("raw"))
     rows = raw.withColumns({"item": item_number(F.col("raw")), "key": key_of(F.col("raw")), "cleaned": strip_footer(cleaned) if footer else cleaned})
-    rows = rows.where((F.col("cleaned") != "") & ~is_cover_page(F.col("cleaned")))
-    return recovered(rows.drop("raw")).withColumn("explanation", extract_explanation(F.col("cleaned")))
+    rows = rows.where(once(F.col("cleaned"), lambda c: (c != "") & ~is_cover_page(c)))
+    out = recovered(rows.drop("raw")).withColumn("explanation", extract_explanation(F.col("cleaned")))
+    # One generated row per page: filters on these columns stay above it, so the planner does not copy their long trees.
+    return out.select("set_id", "page_number", "item", "key", "cleaned", F.inline_outer(F.array(F.struct("stem", "choices", "explanation"))))
 
 
 def warnings(*found: tuple[Column, str]) -> Column:
