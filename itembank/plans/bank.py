@@ -14,6 +14,7 @@ from ..operators import assemble as A
 from ..operators import layout, pairing, qc
 from ..operators.pages import parse_answer_pages, parse_question_pages
 from ..sources.derive import derived, duck
+from ..sources.io import checkpointed
 from .texts import KEYED_SQL, PAGES_SQL, TELLING, Query, duck_cut, duck_words, page_choices
 
 QUERIES: dict[str, Query] = {}
@@ -38,8 +39,16 @@ def a_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "pages_a").drop("doc_id", "kind")
 
 
+def q_drafts(pages: DataFrame) -> DataFrame:
+    return checkpointed(parse_question_pages(pages))
+
+
+def a_drafts(pages: DataFrame) -> DataFrame:
+    return checkpointed(parse_answer_pages(pages))
+
+
 def read_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return A.import_sets(q_pages(spark, sf_dir), a_pages(spark, sf_dir), parse_question_pages, parse_answer_pages)
+    return A.import_sets(q_pages(spark, sf_dir), a_pages(spark, sf_dir), q_drafts, a_drafts)
 
 
 # --- parsing
@@ -180,8 +189,8 @@ def top1_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def match_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = A.fold_answer_pages(parse_answer_pages(a_pages(spark, sf_dir)))
-    return A.match_orphans(parse_question_pages(q_pages(spark, sf_dir)), answers.where("item = 0"))
+    answers = A.fold_answer_pages(a_drafts(a_pages(spark, sf_dir)))
+    return A.match_orphans(q_drafts(q_pages(spark, sf_dir)), answers.where("item = 0"))
 
 
 # --- item bank
@@ -191,8 +200,8 @@ _ITEMS = PAGES_SQL + ", k AS (SELECT q.set_id, q.page_number AS item, q.doc_id,
 @query(f"{_ITEMS} SELECT set_id, item, CASE WHEN answered THEN chr(CAST(65 + doc_id % 5 AS INTEGER)) END AS key, CASE WHEN answered THEN 2 * item END AS answer_page FROM k WHERE doc_id % 7 <> 0")
 def merge_q_and_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with a header on their pages: their answer is found by number."""
-    questions = A.coalesce_questions(parse_question_pages(q_pages(spark, sf_dir)))
-    answers = A.fold_answer_pages(parse_answer_pages(a_pages(spark, sf_dir)))
+    questions = A.coalesce_questions(q_drafts(q_pages(spark, sf_dir)))
+    answers = A.fold_answer_pages(a_drafts(a_pages(spark, sf_dir)))
     headed = derived(spark, sf_dir, "pages_q").where("doc_id % 7 <> 0").select("set_id", F.col("page_number").alias("item"))
     merged = A.merged_rows(questions.join(answers.where("item > 0").select("set_id", "item", F.struct(*A.ANSWER).alias("a")), ["set_id", "item"], "left"))
     return merged.join(headed, ["set_id", "item"], "left_semi").select("set_id", "item", "key", F.get("answer_pages", 0).alias("answer_page"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df kept in the checkpoint folder of the session (its own only where none is set), with a plan of one scan."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def read_page_extracts(spark: SparkSession, path: str) -> DataFrame:
     """pages(set_id, kind, page_number, text, used_ocr) from one JSON file per booklet, {"q": [page…]} or {"a": [page…]}. The set is the file's leading number, else its name."""
     raw = spark.read.schema(f"q {PAGE}, a {PAGE}").json(path, multiLine=True).withColumn("name", F.regexp_replace(file_name(F.input_file_name()), "%20", " "))
