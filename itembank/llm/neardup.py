@@ -75,7 +75,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for j in range(WIDTH):
         use = width > j
         shifted = np.zeros_like(code)
-        shifted[: len(code) - j] = code[j:]
+        shifted[: max(len(code) - j, 0)] = code[j:]
         h = np.where(use, mixed(h * _MIX + shifted + np.uint64(1)), h)
     text, h = text[start], h[start]
     order = np.lexsort((h, text))
