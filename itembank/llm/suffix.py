@@ -14,6 +14,10 @@ can matter:
 
 Anchors whose whole surroundings are equal are settled by counting, before any text moves.
 
+This is not external induced sorting of the whole corpus: there is no recursion and no disk-backed queue of suffix
+tuples. Each group is dealt in memory, so no group is gathered beyond SORTED_AT_ONCE: `split_hot` first splits those of
+very common grams by the longer context that their strings must share.
+
 Defined cases: null is the empty text; equal texts of LENGTH bytes or more, repeated rows included, are removed whole;
 shorter texts never change; an empty table gives no rows; only doc_id and text are read.
 """
@@ -22,17 +26,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, stored
 
 LENGTH = 400
 GRAM = 50
-#: Surroundings that one sort holds at most. More of one gram are sorted in pairs of parts.
+#: Surroundings of one group that are sorted at once at most. Larger groups are split before they are gathered.
 SORTED_AT_ONCE = 40_000
 _POSITION = np.uint64((1 << 24) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -210,16 +215,10 @@ def repeats_of_groups(length: int, gram: int):
         group = np.array([r[0] for r in rows])
         single = np.array([r[3] for r in rows])
         place = np.array([r[2] for r in rows])
-        parts = [np.arange(len(rows))]
-        if len(rows) > SORTED_AT_ONCE and (group == group[0]).all():
-            parts = np.array_split(parts[0], -(-2 * len(rows) // SORTED_AT_ONCE))
-        pairs = [(i, j) for i in range(len(parts)) for j in range(i + 1, len(parts))] or [(0, None)]
-        for i, j in pairs:
-            at = parts[i] if j is None else np.concatenate([parts[i], parts[j]])
-            hits = induced(group[at], [rows[k][4] for k in at], [rows[k][5] for k in at], single[at], length, gram)
-            row, start, end = runs(hits, place[at], length)
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array([rows[at[k]][1] for k in row], pa.binary()), pa.array(start), pa.array(end)], names=["key", "start", "end"])
+        hits = induced(group, [r[4] for r in rows], [r[5] for r in rows], single, length, gram)
+        row, start, end = runs(hits, place, length)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k][1] for k in row], pa.binary()), pa.array(start), pa.array(end)], names=["key", "start", "end"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -240,7 +239,38 @@ def repeats_of_groups(length: int, gram: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def split_hot(rows: DataFrame, length: int, gram: int, at_once: int) -> tuple[DataFrame, DataFrame]:
+    """Surroundings of hot grams to (groups of at most at_once surroundings, with a hash for each; spans already known).
+
+    The strings that start lo to hi bytes before an anchor all hold the bytes from lo before it to length - hi behind it.
+    So anchors are grouped by these bytes, for either half of the range, and again where a group is still too large.
+    Anchors that share all bytes that strings of the range can have are settled by counting; one of them stays as a
+    partner. With a range of one start all of a group do, so the rounds end after log2(length - gram) at most."""
+    cols = rows.columns
+    ready, counted = [], []
+    lo, hi = F.col("lo"), F.col("hi")
+    n_left, n_right = F.octet_length("left"), F.octet_length("right")
+    around = lambda before, behind: F.concat(F.substring("left", -before, before), F.substring("right", F.lit(1), behind))
+    rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
+    while True:
+        middle = F.floor((lo + hi) / 2).cast("int")
+        half = F.explode(F.array(F.struct(lo.alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), hi.alias("hi"))))
+        halves = rows.withColumn("half", half).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half")
+        halves = halves.where((lo <= hi) & (n_left >= lo) & (n_right >= length - hi))
+        whole = F.unhex(F.md5(F.concat(F.encode(F.format_string("%d|", F.least(hi, n_left)), "utf-8"), around(hi, length - lo))))
+        halves = stored(halves.withColumns({"hash": F.xxhash64("hash", "lo", around(lo, length - hi)), "whole": whole}), "halves")
+        same = halves.groupBy("hash", "lo", "hi", "whole").agg(F.count("*").alias("equal"), F.min(F.struct("key", "place", "single", "left", "right")).alias("a"))
+        several = same.where("equal > 1").select("hash", "whole")
+        counted.append(halves.join(several, ["hash", "whole"], "left_semi").select("key", (F.col("place") - F.least(hi, n_left)).alias("start"), (F.col("place") + F.least(length - lo, n_right)).alias("end")))
+        one = stored(same.select("hash", "lo", "hi", "a.key", "a.place", (F.col("a.single") & (F.col("equal") == 1)).alias("single"), "a.left", "a.right"), "split")
+        sized = one.join(one.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "hash")
+        ready.append(sized.where(F.col("n") <= at_once).select(cols))
+        rows = sized.where(F.col("n") > at_once).select(*cols, "lo", "hi")
+        if not rows.limit(1).count():
+            return reduce(DataFrame.unionAll, ready), reduce(DataFrame.unionAll, counted)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     """key, start, end: bytes of distinct texts that a repeated string covers, in pieces that may overlap."""
     reach = length - gram
     rows = stored(anchor_rows(docs, length, gram).distinct(), "anchors")
@@ -249,17 +279,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     members = stored(rows.join(kinds, ["hash", "around"]).join(shared, "hash"), "shared_anchors")
     start, end = F.greatest(F.col("place") - reach, F.lit(0)), F.least(F.col("place") + length, F.col("n_bytes"))
     counted = members.where("equal > 1").select("key", start.alias("start"), end.alias("end"))
-    several = members.where("kinds > 1")
-    one = several.groupBy("hash", "around").agg(F.min(F.struct("key", "place", (F.col("equal") == 1).alias("single"))).alias("a"))
-    wanted = one.groupBy(F.col("a.key").alias("key")).agg(F.collect_list(F.struct("hash", F.col("a.place").alias("place"), F.col("a.single").alias("single"))).alias("anchors"))
-    around = surroundings(docs, wanted, length, gram)
+
+    def several(which: Column) -> DataFrame:
+        one = members.where(which).groupBy("hash", "around").agg(F.min(F.struct("key", "place", (F.col("equal") == 1).alias("single"))).alias("a"))
+        wanted = one.groupBy(F.col("a.key").alias("key")).agg(F.collect_list(F.struct("hash", F.col("a.place").alias("place"), F.col("a.single").alias("single"))).alias("anchors"))
+        return surroundings(docs, wanted, length, gram)
+
+    around = several((F.col("kinds") > 1) & (F.col("kinds") <= at_once))
+    hot = F.col("kinds") > at_once
+    if members.where(hot).limit(1).count():
+        ready, known = split_hot(several(hot), length, gram, at_once)
+        around, counted = around.unionAll(ready), counted.unionAll(known)
     sorted_ = around.repartition("hash").sortWithinPartitions("hash")
     return counted.unionAll(sorted_.mapInArrow(repeats_of_groups(length, gram), "key binary, start long, end long"))
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end of each maximal removed run)."""
-    pieces = stored(repeated_spans(docs, length, gram).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pieces")), "pieces")
+    pieces = stored(repeated_spans(docs, length, gram, at_once).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pieces")), "pieces")
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
     slim = slim.withColumn("key", F.unhex(F.substring("digest", 1, 32)))
     copies = slim.where(F.octet_length("text") >= length).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")

@@ -149,6 +149,22 @@ def test_suffix_whole_table(spark, sf01, odd, none):
     assert suffix.repeated_strings(none).count() == 0
 
 
+def test_suffix_splits_hot_grams(spark):
+    rng = random.Random(9)
+    some = lambda n, of="xyz": "".join(rng.choice(of) for _ in range(n))
+    core, long_ = some(9, "abcdef"), some(50, "abcdef")
+    lefts, rights = [some(32) for _ in range(4)], [some(32) for _ in range(4)]
+    rows = [(i, some(i % 40) + core + some(40 - i % 7)) for i in range(60)]
+    rows += [(100 + i, some(i % 9) + rng.choice(lefts)[i % 3 :] + core + rng.choice(rights)[: 32 - i % 3]) for i in range(60)]
+    rows += [(200 + i, some(i % 20) + long_ + some(20 - i % 20)) for i in range(60)]
+    got = suffix.repeated_strings(frame(spark, rows), 40, 8, at_once=6).drop("spans").collect()
+    assert sorted(map(tuple, got), key=str) == plain_repeats(rows, 40)
+    raws = [(x.encode(), p) for _, x in rows[:120] for p in range(len(x)) if x.startswith(core, p)]
+    hot = [(7, bytes([k]), p, True, x[max(p - 32, 0) : p], x[p : p + 40]) for k, (x, p) in enumerate(raws)]
+    ready, known = suffix.split_hot(spark.createDataFrame(hot, "hash long, key binary, place long, single boolean, left binary, right binary"), 40, 8, 6)
+    assert known.count() and max(r["count"] for r in ready.groupBy("hash").count().collect()) <= 6 < len(hot)
+
+
 # --- decontamination
 
 
