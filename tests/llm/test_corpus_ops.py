@@ -89,6 +89,47 @@ def test_lm_prefers_the_target(spark, sf01):
     assert by[1] < by[0]
 
 
+def plain_word_losses(counted, size):
+    pair, first, word = Counter(), Counter(), Counter()
+    for words in counted:
+        for v, w in zip([None, *words], words):
+            pair[v, w] += 1
+            first[v] += 1
+            word[w] += 1
+    total = sum(word.values())
+
+    def loss(v, w):
+        p = 1 / size
+        for n, of in ((word[w], total), (pair[v, w], first[v])):
+            p = lm.LONGER * n / of + (1 - lm.LONGER) * p if of else p
+        return -math.log(p)
+
+    return loss
+
+
+def test_lm_words_brute_force(spark, odd, none, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "é", "c", "word"]) for _ in range(rng.randint(0, 30)))) for i in range(30)] + ODD[:5]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(1, 1, 1), (5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(20) if i % 2} - {1, 5}
+    words = [(i, (t or "").encode().split()) for i, t in rows]
+    size = len({w for _, ws in words for w in ws})
+    losses = [plain_word_losses([ws for i, ws in words if k or i in good], size) for k in (0, 1)]
+    want = sorted((str(i), len(ws), *(round(sum(f(v, w) for v, w in zip([None, *ws], ws)) / len(ws), 6) if ws else None for f in losses)) for i, ws in words)
+    for most in (lm.FREQUENT, 5):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        got = lm.word_scores(frame(spark, rows), labels).collect()
+        got = sorted((str(r.doc_id), r.n_tokens, *(None if x is None else round(x, 6) for x in (r.target_loss, r.background_loss))) for r in got)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(a == pytest.approx(b, abs=2e-6) for g, w in zip(got, want) for a, b in zip(g[2:], w[2:]))
+    assert lm.word_scores(none, labels.where("false")).count() == 0 and lm.word_scores(odd, labels.where("false")).count() == len(ODD)
+
+
+def test_lm_query_counts_words(spark, sf):
+    got = {r.doc_id: r.n_tokens for r in queries.op2_lm(spark, sf).collect()}
+    assert got == {i: len((t or "").encode().split()) for i, t in texts(spark, sf).items()}
+
+
 # --- repeated strings
 
 
