@@ -198,8 +198,8 @@ _ITEMS = PAGES_SQL + ", k AS (SELECT q.set_id, q.page_number AS item, q.doc_id,
 
 
 @query(f"{_ITEMS} SELECT set_id, item, CASE WHEN answered THEN chr(CAST(65 + doc_id % 5 AS INTEGER)) END AS key, CASE WHEN answered THEN 2 * item END AS answer_page FROM k WHERE doc_id % 7 <> 0")
-def merge_q_and_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with a header on their pages: their answer is found by number."""
+def merge_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of merge_q_and_a that SQL can say: items with a header on their pages, whose answer is found by number."""
     questions = A.coalesce_questions(q_drafts(q_pages(spark, sf_dir)))
     answers = A.fold_answer_pages(a_drafts(a_pages(spark, sf_dir)))
     headed = derived(spark, sf_dir, "pages_q").where("doc_id % 7 <> 0").select("set_id", F.col("page_number").alias("item"))
@@ -207,6 +207,14 @@ def merge_q_and_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(headed, ["set_id", "item"], "left_semi").select("set_id", "item", "key", F.get("answer_pages", 0).alias("answer_page"))
 
 
+@query()
+def merge_q_and_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with its answer, found by number, or by wording where pages have no header."""
+    questions = checkpointed(A.coalesce_questions(q_drafts(q_pages(spark, sf_dir))))
+    answers = checkpointed(A.fold_answer_pages(a_drafts(a_pages(spark, sf_dir))))
+    return A.merge_sets(questions, answers).select("set_id", "item", "key", F.get("answer_pages", 0).alias("answer_page"))
+
+
 @query(f"{_ITEMS} SELECT set_id, count(*) AS question_count, count(*) FILTER (doc_id % 7 <> 0 AND answered) AS keyed_by_number FROM k GROUP BY set_id")
 def set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _ = read_sets(spark, sf_dir)
