@@ -8,8 +8,9 @@ were moved about are still found. A document is contaminated if tiles cover at l
 The benchmark is a stated query set: it is taken in blocks of bounded size, and every block is held against all
 documents in one pass without a shuffle.
 
-Defined cases: null and empty texts match nothing; an item of fewer than five tokens is never matched; repeated items
-are reported once, repeated documents each; an empty benchmark leaves all documents clean.
+Defined cases: null and empty texts match nothing; an item of fewer than five tokens is never matched; items without
+an id are held against all documents too and reported with a null item_id; repeated items are reported once, repeated
+documents each; an empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import n_bytes, sliced
 
@@ -160,7 +162,7 @@ def blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> Iterator[list
     total = items.agg(F.sum(n_bytes(F.col("text")))).first()[0] or 0
     n = total // most_bytes + 1
     for k in range(n if total else 0):
-        yield sorted((r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).where("item_id is not null").collect())
+        yield sorted(((r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -175,7 +177,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
 
 def _pairs(items, coverage: float, benchmark: DataFrame):
-    item_kind = pa.int64() if benchmark.schema["item_id"].dataType.simpleString() == "bigint" else None
+    item_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(items.value)

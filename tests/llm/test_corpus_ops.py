@@ -264,6 +264,15 @@ def test_decontam_finds_all(spark, sf01, odd, none):
     assert decontam.contaminated_pairs(none, bench).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_decontam_items_without_id(spark, kind):
+    one, two = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven"
+    bench = spark.createDataFrame([(None, one), (None, two), (None, two)], f"item_id {kind}, text string")
+    docs = frame(spark, [(1, f"x {one} y"), (2, f"{two} z"), (3, "clean text of more than five words")])
+    assert sorted(tuple(r)[:5] for r in decontam.contaminated_pairs(docs, bench).collect()) == [(1, None, 7, 7, 1), (2, None, 7, 7, 1)]
+    assert [r.doc_id for r in decontam.decontaminated(docs, bench).collect()] == [3]
+
+
 # --- near duplicates
 
 
