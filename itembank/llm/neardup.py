@@ -4,27 +4,32 @@ A text is a multiset of five-word shingles (all its words if it has fewer), weig
 thrown by hash into regions of each element: a region spans a range of weights and a range of ranks and gets a
 Poisson-distributed number of darts, each with a weight, a rank and one of K coordinates. A text sees the darts below
 its weights and keeps the earliest of each coordinate. Two signatures agree in a coordinate with probability equal to
-the weighted Jaccard similarity. Agreeing bands of coordinates propose pairs, which are then checked exactly; linked
-texts form classes.
+the weighted Jaccard similarity. Agreeing bands of coordinates put texts into buckets; texts of a bucket whose exact
+similarity reaches the threshold are linked, and linked texts form classes.
 
-Pairs of a bucket are not listed: each text is held against one member first, and only texts that this leaves in
-different classes are held against further members, so a bucket of many copies costs one pair each, and yet no link
-between texts that share a bucket is lost.
+Pairs of a bucket are not listed. First each text is held against its bucket's leader, the member that meets most texts
+over all its buckets, which joins a group of copies around their origin: one pair per text and leader. Then, only where a
+bucket still holds several classes, the texts outside its largest class are held against its members, block by block
+inside a task: sketches of one byte a coordinate sort out what cannot be similar, and only links leave the task. Blocks
+hold BLOCK members at most on average, so a bucket of any size spreads over tasks. Every two texts that share a bucket are
+so either in one class or compared: no link is lost.
+
+Words are named by 64-bit digests and shingles by 64-bit mixes of these; links are checked on these names.
 
 Defined cases: null is the empty text; equal texts share a class; texts without words are linked to equal texts only;
-repeated rows are members each; class ids are the least doc_id of a class (null if it has none); an empty table gives no
-rows.
+repeated rows are members each; class ids are the least doc_id of a class (null if it has none); texts as likely to
+lead are taken by the lower number; very long texts count whole; an empty table gives no rows; extra columns are not
+read, and `deduplicated` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, stored
@@ -34,6 +39,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
 REMEMBERED = 500_000
+#: Members of a bucket that are compared in one task, on average, with as many others.
+BLOCK = 512
+#: Sketches that agree in a smaller share of coordinates are not compared further. At a similarity of 0.8 the share's
+#: standard deviation is 0.026, so 0.66 lies more than five of them below.
+SKETCH_LEAST = 0.66
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _words: dict[bytes, int] = {}
@@ -56,7 +66,7 @@ def word_codes(words: list[bytes]) -> np.ndarray:
         if len(_words) + len(fresh) > REMEMBERED:
             _words.clear()
             fresh = set(words)
-        _words.update((w, zlib.crc32(w) | zlib.adler32(w) << 32) for w in fresh)
+        _words.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in fresh)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
@@ -133,50 +143,142 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
+def id_text(doc_id: Column) -> Column:
+    """doc_id as a string that is never null, so that rows of one text spread over tasks by it."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a digest of the text), bands (null for texts without words)."""
+    """doc_id, key (a digest of the text), bands and sketch (null for texts without words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at, code, weight = shingles(texts)
-            codes = band_codes(signatures(at, code, weight, len(texts)))
+            signature = signatures(at, code, weight, len(texts))
+            codes, sketch = band_codes(signature), (signature & np.uint64(255)).astype(np.uint8)
             has = np.bincount(at, minlength=len(texts)) > 0
             flat = pa.array(codes[has].reshape(-1))
             offsets = np.r_[0, np.cumsum(np.where(has, BANDS, 0))].astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~has))
             keys = pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, bands], names=["doc_id", "key", "bands"])
+            sketches = pa.array([x.tobytes() if h else None for x, h in zip(sketch, has)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, bands, sketches], names=["doc_id", "key", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>, sketch binary")
 
 
-def checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose weighted Jaccard similarity over shingles is at least similarity. texts: node, text."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, bag: the codes of a text's shingles, 8 bytes each, then their weights, 4 bytes each. wanted: key, first_id, node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text_a", 1 << 20, 500):
-            nodes = {}
-            for ids, texts in ((0, 2), (1, 3)):
-                for node, text in zip(batch.column(ids).to_pylist(), batch.column(texts)):
-                    nodes.setdefault(node, text)
-            number = {node: i for i, node in enumerate(nodes)}
-            at, code, weight = shingles([t.as_py() for t in nodes.values()])
-            ends = np.searchsorted(at, np.arange(len(nodes) + 1))
-            keep = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = (slice(ends[number[v]], ends[number[v] + 1]) for v in (a, b))
-                _, i, j = np.intersect1d(code[x], code[y], assume_unique=True, return_indices=True)
-                both = int(np.minimum(weight[x][i], weight[y][j]).sum())
-                keep.append(both >= similarity * (int(weight[x].sum()) + int(weight[y].sum()) - both))
+        for batch in sliced(batches, "text", 2 << 20):
+            at, code, weight = shingles([t or "" for t in batch.column(1).to_pylist()])
+            ends = np.searchsorted(at, np.arange(batch.num_rows + 1))
+            packed = [code[x:y].tobytes() + weight[x:y].astype(np.uint32).tobytes() for x, y in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "bag"])
+
+    one = docs.select(text_key(F.col("text")).alias("key"), id_text(F.col("doc_id")).alias("id"), "text")
+    rows = one.join(wanted.select("key", id_text(F.col("first_id")).alias("id"), "node"), ["key", "id"]).select("node", "text")
+    return rows.mapInArrow(run, "node long, bag binary").dropDuplicates(["node"])
+
+
+def unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(bag) // 12
+    return np.frombuffer(bag, np.uint64, n), np.frombuffer(bag, np.uint32, n, 8 * n)
+
+
+def is_similar(x: bytes, y: bytes, similarity: float) -> bool:
+    (a, v), (b, w) = unpacked(x), unpacked(y)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    both = int(np.minimum(v[i], w[j]).sum())
+    return both >= similarity * (int(v.sum()) + int(w.sum()) - both)
+
+
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """a, b: each member and the leaders of its buckets. members: bucket, node, many (members of the bucket)."""
+    met = members.groupBy("node").agg(F.sum("many").alias("met"))
+    leaders = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("b"))
+    return members.select("bucket", F.col("node").alias("a")).join(leaders, "bucket").where("a <> b").select("a", "b").distinct()
+
+
+def checked(pairs: DataFrame, texts: DataFrame, similarity: float, most: int = 1000) -> DataFrame:
+    """Those of pairs (a, b) whose weighted Jaccard similarity over shingles is at least similarity. texts: node, bag. A b
+    that many pairs name is dealt over tasks by parts of `most` pairs."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    right = parts.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("bag").alias("bag_b"))
+    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    left = dealt.join(texts.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+    both = left.join(right, ["b", "part"]).select("a", "b", "bag_a", "bag_b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "bag_a", 4 << 20):
+            keep = [is_similar(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def block_links(rows: list[dict], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between texts of different classes in one block: rows of role 1 against rows of role 0. Two texts outside the
+    largest class (`rest`) meet in both roles, and the lower number reports."""
+    left, right = [r for r in rows if r["role"]], [r for r in rows if not r["role"]]
+    if not left or not right:
+        return
+    bucket = rows[0]["bucket"]
+    sketch = np.frombuffer(b"".join(r["sketch"] for r in right), np.uint8).reshape(len(right), K)
+    bands = np.array([r["bands"] for r in right], np.int64)
+    label = np.array([r["label"] for r in right])
+    for x in left:
+        near = np.flatnonzero((label != x["label"]) & ((sketch == np.frombuffer(x["sketch"], np.uint8)).mean(1) >= SKETCH_LEAST))
+        if not len(near):
+            continue
+        shared = bands[near] == np.array(x["bands"], np.int64)
+        first = bands[near, shared.argmax(1)]  # a pair is compared in the first bucket that it shares
+        for j in near[first == bucket].tolist():
+            y = right[j]
+            if (not y["rest"] or x["node"] < y["node"]) and is_similar(x["bag"], y["bag"], similarity):
+                yield x["node"], y["node"]
+
+
+def links_between_classes(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b: links between texts that share a bucket but not a class. members: bucket, node; labels: node, label of each
+    member; nodes: node, bands, sketch; texts: node, bag."""
+    placed = members.select("bucket", "node").join(labels, "node")
+    kinds = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    several = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n")).where("kinds > 1")
+    open_ = placed.join(several, "bucket").withColumns({
+        "rows": F.ceil(F.col("n") / block).cast("int"), "others": F.ceil((F.col("n") - F.col("main_n")) / block).cast("int"), "h": F.xxhash64("node"),
+        "rest": F.col("label") != F.col("main"),
+    })
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    as_row = open_.select("bucket", own("rows").alias("i"), every("others").alias("j"), F.lit(0).alias("role"), "node", "label", "rest")
+    as_other = open_.where("rest").select("bucket", every("rows").alias("i"), own("others").alias("j"), F.lit(1).alias("role"), "node", "label", "rest")
+    units = as_row.unionAll(as_other).join(nodes.select("node", "bands", "sketch"), "node").join(texts, "node")
+    units = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role", "node")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[tuple[int, int]]:
+            held: list[dict] = []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if held and (row["bucket"], row["i"], row["j"]) != (held[0]["bucket"], held[0]["i"], held[0]["j"]):
+                        yield from block_links(held, similarity)
+                        held = []
+                    held.append(row)
+            if held:
+                yield from block_links(held, similarity)
+
+        found = list(links())
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return units.select("bucket", "i", "j", "role", "node", "label", "rest", "bands", "sketch", "bag").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that edges (a, b) lead to. Labels spread to neighbours and jump to their own label's label."""
     both = stored(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -191,49 +293,31 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def linked_nodes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked_nodes(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, key) of every row; nodes (key, node, first_id, n), one per distinct text; labels (node, label) of linked nodes."""
     rows = stored(signed(docs), "signed")
-    grouped = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    grouped = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
-    members = placed.join(shared, "bucket")
-    members = stored(members.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node")
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(wanted, "key").dropDuplicates(["node"]).select("node", "text")
-    texts = stored(texts, "texts")
-    edges = docs.sparkSession.createDataFrame([], "a long, b long")
-    labels = members.select("node", F.col("node").alias("label")).distinct()
-    tested = edges
-    done, reach = 0, 1
-    largest = members.agg(F.max("place")).first()[0] or 0
-    open_ = members
-    while done < largest:
-        against = open_.where((F.col("place") > done) & (F.col("place") <= reach)).select("bucket", F.col("node").alias("b"))
-        pairs = open_.select("bucket", F.col("node").alias("a")).join(against, "bucket").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if done:  # only pairs that could still join two classes
-            pairs = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b")
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = stored(checked(pairs, texts, similarity), "links")
-            edges, tested = edges.unionAll(found), tested.unionAll(pairs)
-            if not found.isEmpty():
-                linked = components(edges)
-                every = members.select("node").distinct()
-                labels = stored(every.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-        done, reach = reach, 2 * reach
-        split = open_.select("bucket", "node", "place").join(labels, "node")
-        mixed_ = split.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("place").alias("last")).where((F.col("l0") < F.col("l1")) & (F.col("last") > done))
-        open_ = stored(open_.join(mixed_.select("bucket"), "bucket"), "open")
-        largest = open_.agg(F.max("place")).first()[0] or 0
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
+    members = stored(placed.join(shared, "bucket"), "members")
+    every = members.select("node").distinct()
+    texts = stored(bags(docs, nodes.select("key", "first_id", "node").join(every, "node", "left_semi")), "bags")
+    edges = stored(checked(leader_pairs(members), texts, similarity), "links")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        return stored(every.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+    labels = labelled(edges)
+    more = stored(links_between_classes(members, labels, nodes, texts, similarity, block), "links")
+    if not more.isEmpty():
+        labels = labelled(edges.unionAll(more))
     return rows.select("doc_id", "key"), nodes.select("key", "node", "first_id", "n"), labels
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, class_size: one row per document."""
-    rows, nodes, labels = linked_nodes(docs, similarity)
+    rows, nodes, labels = linked_nodes(docs, similarity, block)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
     return rows.join(named.join(classes, "label").select("key", "class_id", "class_size"), "key").select("doc_id", "class_id", "class_size")
@@ -244,6 +328,6 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     _, nodes, labels = linked_nodes(docs, similarity)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = named.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("best"))
-    chosen = named.join(first.select(F.col("best.node").alias("node")), "node").select(F.col("key").alias("__key"), F.col("first_id").alias("__first"))
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    return keyed.join(chosen, "__key").where(F.col("doc_id").eqNullSafe(F.col("__first"))).dropDuplicates(["__key"]).select(*docs.columns)
+    chosen = named.join(first.select(F.col("best.node").alias("node")), "node").select("key", id_text(F.col("first_id")).alias("id"))
+    packed = docs.select(text_key(F.col("text")).alias("key"), id_text(F.col("doc_id")).alias("id"), F.struct(*docs.columns).alias("row"))
+    return packed.join(chosen, ["key", "id"]).dropDuplicates(["key", "id"]).select("row.*")

@@ -349,6 +349,57 @@ def test_neardup_chains(spark):
     assert sorted(map(tuple, got), key=str) == plain_classes(rows)
 
 
+def test_neardup_blocks_of_a_bucket(spark):
+    """Members of one bucket over many blocks: only links are found, each once, whatever the block size."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3, 6])):
+            words[k] = f"n{i}-{k}"
+        rows.append((i, " ".join(words)))
+    want = plain_classes(rows)
+    for block in (neardup.BLOCK, 7):
+        assert sorted(map(tuple, neardup.near_duplicate_classes(frame(spark, rows), block=block).collect()), key=str) == want
+    texts = [t for _, t in rows]
+    at, code, weight = neardup.shingles(texts)
+    ends = np.searchsorted(at, np.arange(len(texts) + 1))
+    packed = [code[x:y].tobytes() + weight[x:y].astype(np.uint32).tobytes() for x, y in zip(ends, ends[1:])]
+    sketch = (neardup.signatures(at, code, weight, len(texts)) & np.uint64(255)).astype(np.uint8)
+    placed = spark.createDataFrame([(5, i) for i in range(len(rows))], "bucket long, node long")
+    labels = spark.createDataFrame([(i, i) for i in range(len(rows))], "node long, label long")
+    nodes = spark.createDataFrame([(i, [5] * neardup.BANDS, bytearray(s.tobytes())) for i, s in enumerate(sketch)], "node long, bands array<long>, sketch binary")
+    kept = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(packed)], "node long, bag binary")
+    bags_ = [weights(t) for t in texts]
+    links = sorted((a, b) for b in range(len(rows)) for a in range(b) if similar(bags_[a], bags_[b]))
+    for block in (512, 9):
+        got = neardup.links_between_classes(placed, labels, nodes, kept, 0.8, block).collect()
+        assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in got) == links and len(links) > 100
+        assert neardup.links_between_classes(placed, labels.withColumn("label", F.lit(0).cast("long")), nodes, kept, 0.8, block).count() == 0
+
+
+def test_neardup_large_group(spark):
+    """Thousands of edited copies around one text, and as many texts that share its bucket words but are not similar."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 3001):
+        words = list(base)
+        words[rng.randrange(80)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(3001, 4001):  # each fourth word is its own: nothing is similar to anything
+        rows.append((i, " ".join(f"{w}-{i}" if k % 4 == 0 else w for k, w in enumerate(base))))
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicate_classes(frame(spark, rows)).collect()}
+    assert all(got[i] == (0, 3001) for i in range(3001)) and all(got[i] == (i, 1) for i in range(3001, 4001))
+
+
+def test_neardup_keeps_clashing_columns(spark):
+    docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (None, "x y z"), (None, "x y z")]).withColumns({"key": F.lit("mine"), "id": F.lit(3), "row": F.lit(1.5), "__key": F.lit("k")})
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, docs.where("doc_id = 1 or doc_id is null").distinct().collect()), key=str)
+
+
 # --- secrets
 
 
