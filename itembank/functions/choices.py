@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .predicates import complete_list, is_percent, is_sparse
-from .rules import has, letters, once, sub, trim
+from .rules import has, letters, once, sub, trim, until_same
 from .text import fix_typographics, strip_footer, strip_leading
 
 CHOICES = "array<struct<label:string,text:string>>"
@@ -37,9 +37,7 @@ def release(text: Column) -> Column:
 
 
 def marked_up(text: Column) -> Column:
-    for _ in range(P.MARKUP_ROUNDS):
-        text = sub(text, P.CHOICE_MARKUP)
-    return text
+    return until_same(text, lambda t: sub(t, P.CHOICE_MARKUP), P.MARKUP_ROUNDS)
 
 
 def cut_explanation(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import TRIM, java
@@ -46,6 +46,23 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns behind one generated row each: filters and projections above it name them, and the planner
+    never copies their long expressions."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline_outer(F.array(F.struct(*names)))).select(*df.columns)
+
+
+def until_same(text: Column, step: Callable[[Column], Column], rounds: int) -> Column:
+    """step applied again and again, until it changes nothing or the rounds are over. Null stays null."""
+    kind = "struct<text:string,done:boolean>"
+
+    def one(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(once(step(s["text"]), lambda new: F.struct(new.alias("text"), (new == s["text"]).alias("done")).cast(kind)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(text.alias("text"), F.lit(False).alias("done")).cast(kind), one, lambda s: s["text"])
+
+
 def words_of(text: Column, keep: Callable[[Column], Column]) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
     return F.filter(F.split(plain, " "), keep)

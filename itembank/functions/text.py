@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from .glyph import collapse_broken_spaces
 from .labs import line_class, normalize_token
-from .rules import count, first, has, letters, once, sub, trim, words_of
+from .rules import count, first, has, letters, once, sub, trim, until_same, words_of
 
 BLANKS = [(r"\n{3,}", "\n\n")]
 
@@ -39,10 +39,7 @@ def strip_footer(text: Column) -> Column:
 
 
 def strip_leading(text: Column) -> Column:
-    text = trim(sub(trim(text), P.LEADING_PHRASES))
-    for _ in range(P.LEADING_ROUNDS):  # a round that changes nothing is followed by equal ones
-        text = trim(sub(text, P.LEADING_ROUND))
-    return text
+    return until_same(trim(sub(trim(text), P.LEADING_PHRASES)), lambda t: trim(sub(t, P.LEADING_ROUND)), P.LEADING_ROUNDS)
 
 
 def fix_typographics(text: Column) -> Column:

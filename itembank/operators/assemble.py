@@ -4,15 +4,16 @@ Keys are (set_id, item): an item number alone repeats in every set. Rows without
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import choice_quality, explanation_leak, filled, needs_figure, needs_table, squeezed, well_formed
 from ..functions.choices import pad_choices
-from ..functions.rules import has, sub
+from ..functions.rules import has, once, sub
+from ..sources.io import checkpointed
 from ..functions.text import content_words, item_number, source_stem, strip_explanation, vignette_fingerprint
 
+# Messages that users see.
 NO_ANSWER = "No matching explanation page was found for this question."
 SOURCE_WARNING = "Formatted text may not match the original PDF closely. Use “Show image of original question” if needed."
 ACCEPTED = 40.0
@@ -111,30 +112,47 @@ def fingerprint_score(left: Column, right: Column) -> Column:
     return F.when((F.coalesce(left, F.lit("")) == "") | (F.coalesce(right, F.lit("")) == ""), 0.0).when(left == right, 100.0).when(starts, 85.0).otherwise(share * 70)
 
 
-def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left(set_id, l_id, print), right(set_id, r_id, print) to set_id, l_id, r_id, score of all pairs of a set that share a
-    word. Blocking on words loses nothing: without a shared word a score of 40 is out of reach."""
-    word = lambda df, key: df.select("set_id", key, "print", F.explode(F.array_distinct(F.split("print", " "))).alias("word")).where("word <> ''")
-    both = word(left, "l_id").withColumnRenamed("print", "lp").join(word(right, "r_id").withColumnRenamed("print", "rp"), ["set_id", "word"]).select("set_id", "l_id", "r_id", "lp", "rp").distinct()
-    return both.withColumn("score", fingerprint_score(F.col("lp"), F.col("rp"))).select("set_id", "l_id", "r_id", "score")
+def scored_pairs(left: DataFrame, right: DataFrame, least: float = ACCEPTED) -> DataFrame:
+    """left(set_id, l_id, print), right(set_id, r_id, print) to set_id, l_id, r_id, score of all pairs of a set whose score is
+    `least` or more (above 0, at most 70). Three blocks, which lose nothing:
+
+    - a share score needs so many of right's words that one of its rarest is among them: right goes by its rarest words,
+      as many as may fail and one more, left by all of its words;
+    - a shared beginning of prints of 24 characters or more is one of their first 24;
+    - a shorter right print that begins left is one of left's beginnings.
+
+    Null and empty prints pair with nothing."""
+    left, right = (df.where("coalesce(print, '') <> ''") for df in (left, right))
+    many = left.select("set_id", "l_id", F.explode(F.array_distinct(F.split("print", " "))).alias("word"))
+    often = many.groupBy("set_id", "word").agg(F.count("*").alias("n"))
+    spread = right.select("set_id", "r_id", "print", F.posexplode(F.split("print", " ")).alias("at", "word")).join(often, ["set_id", "word"], "left")
+    rank = F.row_number().over(Window.partitionBy("set_id", "r_id", "print").orderBy(F.coalesce("n", F.lit(0)), "word", "at"))
+    words = F.size(F.split("print", " "))
+    rare = spread.withColumn("rank", rank).where(F.col("rank") <= words - F.ceil(words * F.lit(least / 70) - 1e-9) + 1)
+    keys = "struct<kind:int,key:string>"
+    key = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("key")).cast(keys)
+    beginnings = F.transform(F.sequence(F.lit(1), F.least(F.length("print"), F.lit(23))), lambda n: key(2, F.substring(F.col("print"), F.lit(1), n)))
+    first = F.when(F.length("print") >= 24, F.array(key(1, F.substring("print", 1, 24)))).otherwise(F.array().cast(f"array<{keys}>"))
+    by_left = left.select("set_id", "l_id", F.col("print").alias("lp"), F.explode(F.concat(F.transform(F.array_distinct(F.split("print", " ")), lambda w: key(0, w)), first, beginnings)).alias("k"))
+    start = F.when(F.length("print") >= 24, key(1, F.substring("print", 1, 24))).otherwise(key(2, F.col("print")))
+    by_right = rare.select("set_id", "r_id", F.col("print").alias("rp"), key(0, F.col("word")).alias("k")).unionByName(right.select("set_id", "r_id", F.col("print").alias("rp"), start.alias("k"))).distinct()
+    both = by_left.join(by_right, ["set_id", "k"]).select("set_id", "l_id", "r_id", "lp", "rp").distinct()
+    return both.withColumn("score", fingerprint_score(F.col("lp"), F.col("rp"))).where(F.col("score") >= least).select("set_id", "l_id", "r_id", "score")
 
 
 def greedy_match(scored: DataFrame, least: float = ACCEPTED) -> DataFrame:
-    """Left rows in order take their best right row (earliest on ties) that none before took: sequential inside a set, over
-    the pairs that reach `least` only."""
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for l_id, part in rows.sort_values(["l_id", "score", "r_id"], ascending=[True, False, True]).groupby("l_id", sort=True):
-            for r_id, score in zip(part["r_id"], part["score"]):
-                if r_id not in taken:
-                    taken.add(r_id)
-                    out.append((rows["set_id"].iloc[0], l_id, r_id, score))
-                    break
-        return pd.DataFrame(out, columns=["set_id", "l_id", "r_id", "score"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.select("set_id", "l_id", "r_id", "score").schema)
-    return scored.where(F.col("score") >= least).groupBy("set_id").applyInPandas(assign, schema)
+    """Left rows in order take their best right row (earliest on ties) that none before took, over the pairs that reach
+    `least`. In rounds: a left row whose best free right row no earlier open left row could take has it for good."""
+    open_ = checkpointed(scored.where(F.col("score") >= least).select("set_id", "l_id", "r_id", "score"))
+    taken = open_.limit(0)
+    while not open_.isEmpty():
+        first = open_.groupBy("set_id", "r_id").agg(F.min("l_id").alias("first"))
+        best = open_.groupBy("set_id", "l_id").agg(F.min(F.struct((-F.col("score")).alias("cost"), "r_id", "score")).alias("best"))
+        best = best.select("set_id", "l_id", "best.r_id", "best.score")
+        won = checkpointed(best.join(first, ["set_id", "r_id"]).where("first = l_id").select(*open_.columns))
+        taken = taken.unionByName(won)
+        open_ = checkpointed(open_.join(won.select("set_id", "l_id"), ["set_id", "l_id"], "left_anti").join(won.select("set_id", "r_id"), ["set_id", "r_id"], "left_anti"))
+    return taken
 
 
 def match_orphans(questions: DataFrame, orphans: DataFrame) -> DataFrame:
@@ -175,12 +193,12 @@ def source_for_items(items: DataFrame, pages: DataFrame) -> DataFrame:
 def stem_reasons(stem: Column, source: Column, n_filled: Column, figure: Column, table: Column) -> Column:
     """Why a stem may differ from its source (itself a stem); empty if nothing speaks for that."""
     parsed = strip_explanation(stem)
-    sample = F.slice(content_words(source), 1, 18)
-    hits = F.size(F.filter(sample, lambda w: F.array_contains(content_words(stem), w)))
+    share = lambda sample, words: (F.size(sample) >= 10) & (F.size(F.filter(sample, lambda w: F.array_contains(words, w))) < 0.5 * F.size(sample))
+    diverged = once(F.slice(content_words(source), 1, 18), lambda sample: once(content_words(stem), lambda words: share(sample, words)))
     chrome = has(parsed, r"(?i)^\s*(?:[•·*]?\s*)?Mark\b") | has(parsed, r"~\s*~")
     found = [
         (explanation_leak(stem), "explanation text leaked into the stem"), (chrome, "exam chrome remained in the stem"), (F.length(squeezed(parsed)) < 30, "the stem is too short"),
-        ((F.size(sample) >= 10) & (hits < 0.5 * F.size(sample)), "the wording diverged from the original PDF"), ((n_filled < 2) & ~figure & ~table, "answer choices were missing"),
+        (diverged, "the wording diverged from the original PDF"), ((n_filled < 2) & ~figure & ~table, "answer choices were missing"),
     ]
     return F.array_compact(F.array(*[F.when(test, text) for test, text in found]))
 
@@ -202,7 +220,7 @@ def set_summary(items: DataFrame, answers: DataFrame) -> DataFrame:
     a = answers.groupBy("set_id").agg(F.count("*").alias("entries"))
     rows = q.join(a, "set_id", "full_outer").fillna(0, ["question_count", "answer_count", "keyed_count", "doubtful", "entries"])
     status = F.when(F.col("question_count") == 0, "error").when(F.col("question_count") != F.col("answer_count"), "mismatch").otherwise("parsed")
-    text = [
+    text = [  # fixed values: messages that users see
         F.when((F.col("question_count") != F.col("entries")) & (F.col("entries") > 0), F.format_string("Detected %d question(s) and %d answer/explanation item(s). Counts do not match.", "question_count", "entries")),
         F.when(F.col("question_count") == 0, F.lit("No questions could be extracted from the uploaded PDFs.")),
         F.when(F.col("doubtful") > 0, F.format_string("%d question(s) may need the original page image. Formatted text is still shown; use “Show image of original question” if something looks off.", "doubtful")),
@@ -220,7 +238,8 @@ def number_questions(items: DataFrame) -> DataFrame:
 
 
 def import_sets(question_pages: DataFrame, answer_pages: DataFrame, parse_q, parse_a) -> tuple[DataFrame, DataFrame]:
-    """(items, answer entries) of all sets."""
-    questions = coalesce_questions(parse_q(question_pages))
-    answers = fold_answer_pages(parse_a(answer_pages))
-    return check_against_source(merge_sets(questions, answers), question_pages), answers
+    """(items, answer entries) of all sets. Tables are kept between the steps, whose expressions are long."""
+    questions = checkpointed(coalesce_questions(parse_q(question_pages)))
+    answers = checkpointed(fold_answer_pages(parse_a(answer_pages)))
+    merged = checkpointed(merge_sets(questions, answers))
+    return checkpointed(check_against_source(merged, question_pages)), answers

@@ -75,7 +75,11 @@ def pair_tokens(tokens: Column) -> Column:
     """`name<TAB>value` lines from tokens: runs of names meet the run of values behind them. Equal and compatible runs pair by
     place, others by the next compatible value; with one name or one value, a value takes the first compatible name, names
     that got none wait, and a value that fits none stands alone."""
-    kinds = F.transform(tokens, lambda t: F.struct(line_class(t).alias("kind"), t.alias("text")))
+    def kind_at(t: Column, i: Column) -> Column:
+        heads = has(t, r"(?i)shows?:?\z") | (has(t, r"(?i)^protein\z") & has(F.coalesce(F.get(tokens, i + 1), F.lit("")), r"(?i)^(total|albumin)\z"))
+        return F.struct(F.when(heads, "section").otherwise(line_class(t)).alias("kind"), t.alias("text"))
+
+    kinds = F.transform(tokens, kind_at)
     kind = f"struct<out:array<string>,pending:{_ITEMS},values:array<string>>"
     none = F.array().cast("array<string>")
 

@@ -14,9 +14,10 @@ from ..functions.choices import (
 )
 from ..functions.labs import UNITS, join_broken_units
 from ..functions.predicates import is_cover_page, needs_figure, needs_table
-from ..functions.rules import has, once, sub, trim
+from ..functions.rules import has, once, settled, sub, trim
 from ..functions.text import clean_page_text, extract_explanation, item_number, key_of, polish_stem, strip_chrome, strip_explanation, strip_footer
 
+# Messages that users see.
 FEW_CHOICES = "Fewer than two answer choices were detected."
 SHORT_STEM = "Question stem may be incomplete."
 NO_KEY = "Correct answer letter could not be identified automatically."
@@ -64,13 +65,11 @@ def recovered(pages: DataFrame) -> DataFrame:
 
 
 def _read(pages: DataFrame, footer: bool) -> DataFrame:
-    raw = pages.select("set_id", "page_number", clean_page_text(F.coalesce("text", F.lit(""))).alias("raw"))
+    raw = settled(pages.select("set_id", "page_number", clean_page_text(F.coalesce("text", F.lit(""))).alias("raw")), "raw")
     cleaned = strip_chrome(F.col("raw"))
-    rows = raw.withColumns({"item": item_number(F.col("raw")), "key": key_of(F.col("raw")), "cleaned": strip_footer(cleaned) if footer else cleaned})
-    rows = rows.where(once(F.col("cleaned"), lambda c: (c != "") & ~is_cover_page(c)))
-    out = recovered(rows.drop("raw")).withColumn("explanation", extract_explanation(F.col("cleaned")))
-    # One generated row per page: filters on these columns stay above it, so the planner does not copy their long trees.
-    return out.select("set_id", "page_number", "item", "key", "cleaned", F.inline_outer(F.array(F.struct("stem", "choices", "explanation"))))
+    rows = raw.select("set_id", "page_number", item_number(F.col("raw")).alias("item"), key_of(F.col("raw")).alias("key"), (strip_footer(cleaned) if footer else cleaned).alias("cleaned"))
+    rows = settled(settled(rows, "item", "key", "cleaned").withColumn("cover", (F.col("cleaned") == "") | is_cover_page(F.col("cleaned"))), "cover").where("not cover").drop("cover")
+    return settled(recovered(rows).withColumn("explanation", extract_explanation(F.col("cleaned"))), "stem", "choices", "explanation")
 
 
 def warnings(*found: tuple[Column, str]) -> Column:

@@ -26,17 +26,24 @@ SQL: dict[str, str] = {
     # answer drafts of conversations: a page per turn, anchored where the user speaks
     "turns": "SELECT conv_id AS set_id, CAST(turn AS INTEGER) AS page_number, role, text FROM conversations",
     # attempt logs: a session per user, an item per key; views become phases, pauses and highlights
-    "attempts": """SELECT event_id, user_id AS session_id, CAST(k AS BIGINT) AS item_id, ts, CASE event_type WHEN 'purchase' THEN 'select' WHEN 'click' THEN 'strike' WHEN 'signup' THEN 'flag' WHEN 'error' THEN 'note'
+    "attempts": """SELECT event_id, user_id AS session_id, CAST(k AS BIGINT) AS item_id, CAST(ts AS TIMESTAMP) AS ts, CASE event_type WHEN 'purchase' THEN 'select' WHEN 'click' THEN 'strike' WHEN 'signup' THEN 'flag' WHEN 'error' THEN 'note'
       ELSE CASE event_id % 5 WHEN 0 THEN 'phase' WHEN 1 THEN 'pause' WHEN 2 THEN 'resume' ELSE 'highlight' END END AS action,
       CASE WHEN event_type = 'view' AND event_id % 5 = 0 THEN CASE event_id % 4 WHEN 0 THEN 'exam' WHEN 1 THEN 'examReview' WHEN 2 THEN 'endConfirm' ELSE 'review' END ELSE chr(CAST(65 + floor(value) % 5 AS INTEGER)) END AS label,
       CASE WHEN event_id % 3 = 0 THEN '  ' ELSE 'note ' || event_id END AS text FROM events_k""",
-    # one item per order, keyed and with choices
-    "bank": "SELECT o_orderkey AS item_id, CAST(o_custkey % 7 AS INTEGER) AS set_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE chr(CAST(65 + o_orderkey % 5 AS INTEGER)) END AS key FROM orders",
+    # one item per order, a hundred a set; a session takes the set of its number
+    "bank": """SELECT CAST(floor(o_orderkey / 100) AS BIGINT) AS set_id, o_orderkey % 100 AS item_id, o_orderkey % 100 + 1 AS question_number, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE chr(CAST(65 + o_orderkey % 5 AS INTEGER)) END AS key,
+      ' Order' || chr(9) || chr(9) || o_orderkey || ' of a ' || o_custkey || ' ' AS stem, 'because ' || o_custkey AS explanation FROM orders""",
     "spans": "SELECT l_orderkey AS item_id, l_linenumber AS h_id, CAST(l_partkey % 90 AS INTEGER) AS start, CAST(l_partkey % 90 + 1 + l_quantity AS INTEGER) AS stop FROM lineitem",
     "lengths": "SELECT o_orderkey AS item_id, CAST(40 + o_custkey % 60 AS INTEGER) AS length FROM orders",
-    "segments": "SELECT l_orderkey AS item_id, l_linenumber AS seg, CAST(30 * (l_linenumber - 1) AS INTEGER) AS seg_start, 25 AS seg_length FROM lineitem",
+    "segments": "SELECT DISTINCT l_orderkey AS item_id, l_linenumber AS seg, CAST(30 * (l_linenumber - 1) AS INTEGER) AS seg_start, 25 AS seg_length FROM lineitem",
     "labs": """SELECT l_orderkey AS panel_id, l_linenumber AS pos, CASE l_partkey % 6 WHEN 0 THEN 'Hematocrit' WHEN 1 THEN 'Leukocyte count' WHEN 2 THEN 'Na+' WHEN 3 THEN 'Creatinine' WHEN 4 THEN 'ALT' ELSE 'Ferritin' END AS name,
       CAST(l_quantity AS INTEGER) || CASE l_partkey % 6 WHEN 0 THEN '%' WHEN 1 THEN '00/mm³' WHEN 2 THEN ' mEq/L' WHEN 3 THEN ' mg/dL' WHEN 4 THEN ' U/L' ELSE ' ng/mL' END AS value FROM lineitem""",
+    # blocks of results: names and values in turn; bare blood gases; lines of series; stems with and without results
+    "gases": "SELECT l_orderkey AS panel_id, l_linenumber AS pos, CASE l_partkey % 5 WHEN 0 THEN '7.4' WHEN 1 THEN '38 mm Hg' WHEN 2 THEN '60 mm Hg' WHEN 3 THEN 'pH' ELSE '40 mm Hg' END AS token FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_partkey FROM lineitem)",
+    "series": """SELECT l_orderkey AS panel_id, l_linenumber AS line_no, l_partkey % 4 AS kind, CASE l_partkey % 4 WHEN 0 THEN 'Months ago 1 2 3' WHEN 1 THEN 'Blood pressure 120/80 130/85 140/90 150/95' WHEN 2 THEN 'He feels well.' ELSE 'Pulse rate 60 70 80 90 100' END AS line
+      FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_partkey FROM lineitem)""",
+    "stem_lines": """SELECT l_orderkey AS item_id, l_linenumber AS line_no, l_partkey % 5 AS kind, CASE l_partkey % 5 WHEN 0 THEN 'Hematocrit' || chr(9) || '40%' WHEN 1 THEN 'Leukocyte count' WHEN 2 THEN CAST(l_quantity AS INTEGER) || ' mEq/L' WHEN 3 THEN 'The patient returns after ' || l_suppkey || ' days of rest.' ELSE 'She walks.' END AS line
+      FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_partkey, min(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_quantity, min(l_suppkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_suppkey FROM lineitem)""",
     "lab_lines": """SELECT l_orderkey AS panel_id, l_linenumber AS line_no, CASE l_partkey % 11 WHEN 0 THEN 'Serum' WHEN 1 THEN 'Na*' WHEN 2 THEN CAST(l_quantity AS INTEGER) || ',mEq/L' WHEN 3 THEN 'HCO 3 -' WHEN 4 THEN 'Leukocyte  count'
       WHEN 5 THEN '4.2 million / mm 3' WHEN 6 THEN 'which of the following is next?' WHEN 7 THEN 'Day' || l_suppkey WHEN 8 THEN 'An x-ray shows ' || l_suppkey WHEN 9 THEN '1-2/hpf' ELSE 'Hemoglobin A 1c' END AS line FROM lineitem""",
 }
