@@ -107,7 +107,7 @@ ANSWER = ("stem", "choices", "key", "explanation", "warnings", "answer_pages", "
 def fingerprint_score(left: Column, right: Column) -> Column:
     """100 if equal, 85 on a shared beginning, else 70 times the share of right's words (repeats count) that left has."""
     head = F.substring(left, 1, 48)
-    share = F.size(F.filter(F.split(right, " "), lambda w: F.array_contains(F.split(left, " "), w))) / F.size(F.split(right, " "))
+    share = once(F.split(left, " "), lambda known: F.size(F.filter(F.split(right, " "), lambda w: F.array_contains(known, w)))) / F.size(F.split(right, " "))
     starts = (F.length(head) >= 24) & (F.startswith(left, F.substring(right, 1, 48)) | F.startswith(right, head))
     return F.when((F.coalesce(left, F.lit("")) == "") | (F.coalesce(right, F.lit("")) == ""), 0.0).when(left == right, 100.0).when(starts, 85.0).otherwise(share * 70)
 

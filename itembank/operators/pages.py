@@ -22,6 +22,10 @@ FEW_CHOICES = "Fewer than two answer choices were detected."
 SHORT_STEM = "Question stem may be incomplete."
 NO_KEY = "Correct answer letter could not be identified automatically."
 NO_EXPLANATION = "Explanation text could not be isolated."
+DRAFT = (
+    "set_id string, item int, stem string, choices array<struct<label:string,text:string>>, key string, explanation string, warnings array<string>, question_page int, "
+    "needs_figure boolean, needs_table boolean"
+)
 #: Laboratory values that a page break has glued to a choice.
 LAB_TAIL = rf"(?is)\s(?:[\d.,]+\s*{UNITS}|\d+\s*-\s*\d+\s*/(?:hpf|lpf)|[1-4]\+\s+(?:[1-4]\+|trace|negative|none)|(?:trace|none)\s+(?:trace|none|[1-4]\+)).*\z"
 

@@ -11,11 +11,10 @@ from ..functions.choices import split_choices
 from ..functions.predicates import explanation_leak, review_status
 from ..functions.rules import duck_first, duck_has, duck_letters, duck_trim, quoted
 from ..operators import assemble as A
-from ..operators import layout, pairing, qc
-from ..operators.pages import parse_answer_pages, parse_question_pages
-from ..sources.derive import derived, duck
+from ..operators import layout, pages, pairing, qc
+from ..sources.derive import derived, duck, spread
 from ..sources.io import checkpointed
-from .texts import KEYED_SQL, PAGES_SQL, TELLING, Query, duck_cut, duck_words, page_choices
+from .texts import _LISTED, BANK, KEYED_SQL, PAGES_SQL, TELLING, Query, duck_cut, duck_words, listed, page_choices
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -32,19 +31,19 @@ def query(sql: str | None = None):
 
 
 def q_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "pages_q").drop("doc_id", "kind")
+    return spread(derived(spark, sf_dir, "pages_q").drop("doc_id", "kind"), "set_id", "page_number")
 
 
 def a_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "pages_a").drop("doc_id", "kind")
+    return spread(derived(spark, sf_dir, "pages_a").drop("doc_id", "kind"), "set_id", "page_number")
 
 
-def q_drafts(pages: DataFrame) -> DataFrame:
-    return checkpointed(parse_question_pages(pages))
+def q_drafts(rows: DataFrame) -> DataFrame:
+    return checkpointed(pages.parse_question_pages(rows))
 
 
-def a_drafts(pages: DataFrame) -> DataFrame:
-    return checkpointed(parse_answer_pages(pages))
+def a_drafts(rows: DataFrame) -> DataFrame:
+    return checkpointed(pages.parse_answer_pages(rows))
 
 
 def read_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -55,41 +54,51 @@ def read_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _LABELS = "ABCDE"
 
 
-@query(f"{PAGES_SQL} SELECT set_id, page_number AS question_page, page_number AS item, CAST(NULL AS VARCHAR) AS key, 'ABCDE' AS labels FROM pages_q")
-def parse_question_pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parse_question_pages(q_pages(spark, sf_dir))
-    return rows.select("set_id", "question_page", "item", "key", F.array_join(F.transform("choices", lambda c: c["label"]), "").alias("labels"))
+_AGED_SQL = "'A ' || (20 + doc_id % 60) || '-year-old man has had pain for ' || (1 + doc_id % 9) || ' days.'"
+PARSED_SQL = f"""{BANK} SELECT set_id, page_number AS question_page, page_number AS item, CAST(NULL AS VARCHAR) AS key, {_LISTED} AS choices, {_AGED_SQL} AS opening, '' AS warnings FROM q"""
+#: How far the generated sentence reaches that opens each stem; what follows is the text of a document.
+_OPENING = r"^(A \d+-year-old man has had pain for \d days\.)"
+
+
+def parsed_columns(drafts: DataFrame) -> DataFrame:
+    """Item, key, whole choices, warnings and the opening of the stem."""
+    return drafts.select("set_id", "question_page", "item", "key", listed(F.col("choices")).alias("choices"), F.regexp_extract("stem", _OPENING, 1).alias("opening"), F.array_join("warnings", " ").alias("warnings"))
+
+
+@query(PARSED_SQL)
+def parse_question_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed_columns(pages.parse_question_pages(q_pages(spark, sf_dir)))
 
 
 @query(f"""{PAGES_SQL} SELECT set_id, page_number, CASE WHEN page_number % 2 = 1 OR doc_id % 7 = 0 THEN 0 ELSE page_number // 2 END AS item,
-  CASE WHEN page_number % 2 = 0 THEN chr(CAST(65 + doc_id % 5 AS INTEGER)) END AS key FROM pages_a""")
-def parse_answer_pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_answer_pages(a_pages(spark, sf_dir)).select("set_id", "page_number", "item", "key")
+  CASE WHEN page_number % 2 = 0 THEN chr(CAST(65 + doc_id % 5 AS INTEGER)) END AS key,
+  CASE WHEN page_number % 2 = 0 THEN 'Correct Answer: ' || chr(CAST(65 + doc_id % 5 AS INTEGER)) || '. The findings show that ' || page_number // 2 || ' is best.' ELSE 'Educational Objective:' END AS explanation FROM pages_a""")
+def parse_answer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explanations whole on keyed pages, their opening on pages that continue one."""
+    rows = pages.parse_answer_pages(a_pages(spark, sf_dir))
+    told = F.when(F.col("page_number") % 2 == 0, F.col("explanation")).otherwise(F.regexp_extract("explanation", "^(Educational Objective:)", 1))
+    return rows.select("set_id", "page_number", "item", "key", told.alias("explanation"))
 
 
 @query()
 def recover_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parse_question_pages(q_pages(spark, sf_dir))
-    return rows.select("set_id", "item", "stem", F.array_join(F.transform("choices", lambda c: F.concat(c["label"], F.lit(") "), c["text"])), "\n").alias("choices"), "needs_figure", "needs_table")
-
-
-_GOLD = duck_trim("regexp_replace(text, '(?s)\\nWhich of the following.*\\z', '')")
+    rows = pages.parse_question_pages(q_pages(spark, sf_dir))
+    return rows.select("set_id", "item", "stem", listed(F.col("choices")).alias("choices"), "needs_figure", "needs_table")
 
 
-@query(f"{PAGES_SQL} SELECT set_id, page_number, length(coalesce(text, '')) > 0 AS has_page, {duck_first('text', P.NUMBERED_STEM)} AS item FROM pages_q")
+@query(f"{PAGES_SQL} SELECT set_id, page_number, {_AGED_SQL} AS opening, {duck_first('text', P.NUMBERED_STEM)} AS item FROM pages_q")
 def source_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = q_pages(spark, sf_dir).select("set_id", "page_number", "text", T.source_stem(F.col("text"), F.col("page_number")).alias("stem"))
-    begins = F.startswith(F.col("stem"), F.lit("A ")) & F.contains(F.col("stem"), F.lit("-year-old man"))
-    return rows.select("set_id", "page_number", begins.alias("has_page"), F.regexp_extract("text", P.NUMBERED_STEM, 1).alias("item"))
+    return rows.select("set_id", "page_number", F.regexp_extract("stem", _OPENING, 1).alias("opening"), F.regexp_extract("text", P.NUMBERED_STEM, 1).alias("item"))
 
 
 @query(f"""{PAGES_SQL}, s AS (SELECT set_id, {duck_first('text', P.ITEM_HEADER)} AS h, {duck_first('text', P.NUMBERED_STEM)} AS n, text FROM pages_q),
  i AS (SELECT set_id, CAST(coalesce(h, n) AS INTEGER) AS item, text FROM s)
  SELECT set_id, item, count(*) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM i GROUP BY set_id, item""")
 def source_for_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = q_pages(spark, sf_dir)
-    counts = pages.withColumn("item", T.item_number(F.col("text"))).groupBy("set_id", "item").agg(F.count("*").alias("n_pages"))
-    return A.source_texts(pages).join(counts, ["set_id", "item"]).select("set_id", "item", "n_pages", (F.length("source").cast("long") - F.col("n_pages") + 1).alias("n_chars"))
+    page = q_pages(spark, sf_dir)
+    counts = page.withColumn("item", T.item_number(F.col("text"))).groupBy("set_id", "item").agg(F.count("*").alias("n_pages"))
+    return A.source_texts(page).join(counts, ["set_id", "item"]).select("set_id", "item", "n_pages", (F.length("source").cast("long") - F.col("n_pages") + 1).alias("n_chars"))
 
 
 # --- grouping
@@ -129,9 +138,10 @@ def items_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts(spark, sf_dir).select("set_id", "question_page", F.row_number().over(by).alias("place"))
 
 
-@query(f"""{_DRAFTS}, x AS ({_D}) SELECT set_id, question_page, array_to_string(CASE doc_id % 3 WHEN 1 THEN ['w', 'w1', 'w2'] WHEN 2 THEN ['w', 'w2'] ELSE ['w', 'w0', 'w2'] END, ',') AS warnings FROM x""")
+@query(f"""{_DRAFTS}, x AS ({_D}) SELECT set_id, item, 'w,w' || arg_min(doc_id % 3, question_page) || CASE WHEN arg_min(doc_id % 3, question_page) <> arg_max(doc_id % 3, question_page) THEN ',w' || arg_max(doc_id % 3, question_page) ELSE '' END AS warnings FROM x GROUP BY ALL""")
 def warning_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drafts(spark, sf_dir).select("set_id", "question_page", F.array_join(F.array_union("warnings", F.array(F.lit("w"), F.lit("w2"))), ",").alias("warnings"))
+    rows = drafts(spark, sf_dir).groupBy("set_id", "item").agg(A.union_in_order(F.col("question_page")).alias("warnings"))
+    return rows.select("set_id", "item", F.array_join("warnings", ",").alias("warnings"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +186,12 @@ def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.scored_pairs(left, right).select(F.col("l_id").alias("doc_id"), F.col("r_id").alias("item_id"), F.round("score", 6).alias("score"))
 
 
-@query(_PRINTS + " SELECT doc_id, item_id, round(score, 6) AS score FROM s")
+@query(_PRINTS + f" SELECT doc_id, item_id, round(score, 6) AS score FROM s WHERE score >= {A.ACCEPTED}")
 def score_vignette_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_scores(spark, sf_dir)
 
 
-@query(_PRINTS + " SELECT doc_id, item_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, item_id) = 1")
+@query(_PRINTS + " SELECT doc_id, item_id, round(score, 6) AS score FROM s WHERE score >= 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, item_id) = 1")
 def top1_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id"))
     return document_scores(spark, sf_dir).withColumn("rank", rank).where("rank = 1").drop("rank")
@@ -219,7 +229,7 @@ def merge_q_and_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _ = read_sets(spark, sf_dir)
     headed = derived(spark, sf_dir, "pages_q").where("doc_id % 7 <> 0").select("set_id", F.col("page_number").alias("item"), F.lit(True).alias("headed"))
-    return items.join(headed, ["set_id", "item"], "left").groupBy("set_id").agg(F.count("*").alias("question_count"), F.count_if(F.col("headed") & F.col("key").isNotNull()).alias("keyed_by_number"))
+    return items.join(headed, ["set_id", "item"], "left").groupBy("set_id").agg(F.count("*").alias("question_count"), F.count_if(F.col("headed") & F.col("key").isNotNull() & (F.get("answer_pages", 0) == 2 * F.col("item"))).alias("keyed_by_number"))
 
 
 @query()
@@ -268,7 +278,7 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("stem"))
     size = bench.agg(F.count("*").alias("n"))
-    keyed = docs.join(F.broadcast(size)).withColumn("item_id", F.col("doc_id") % F.col("n"))
+    keyed = docs.crossJoin(F.broadcast(size)).withColumn("item_id", F.col("doc_id") % F.col("n"))
     return keyed.join(bench.select("item_id", F.col("text").alias("source")), "item_id").drop("n")
 
 
@@ -340,27 +350,33 @@ def label_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.label_gaps(spoilt(spark, sf_dir))
 
 
-_DISCREPANT = f"""{PAGES_SQL}, x AS (SELECT set_id, page_number AS item, doc_id FROM pages_q),
+_SHARE = "len(list_filter(words, lambda w: contains(plain, ' ' || w || ' ')))::DOUBLE / len(words)"
+_DISCREPANT = f"""WITH x AS (SELECT source AS set_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS item, doc_id, CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '') || chr(10) || 'Educational Objective: it' ELSE coalesce(text, '') END AS stem,
+   CASE WHEN doc_id % 4 = 1 THEN 'rest and sleep are best' ELSE coalesce(text, '') || ' rest and sleep are best' END AS src FROM documents),
+ y AS (SELECT *, {duck_cut('stem')} AS clean, ({duck_words(duck_cut('stem'), TELLING)})[1:12] AS words, ' ' || trim(regexp_replace(lower(src), '[^a-z0-9]+', ' ', 'g')) || ' ' AS plain FROM x),
+ z AS (SELECT *, CASE WHEN len(words) > 0 THEN {_SHARE} ELSE 0 END AS share FROM y),
  e AS (SELECT DISTINCT set_id, unnest(range(1, 51)) AS item FROM x)
  SELECT set_id, 0 AS item, 'missing-items' AS kind, string_agg(item, ',' ORDER BY item) AS detail FROM e WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.set_id = e.set_id AND x.item = e.item) GROUP BY set_id
  UNION ALL SELECT set_id, 0, 'count', count(*) || ' items' FROM x GROUP BY set_id HAVING count(*) <> 50
- UNION ALL SELECT set_id, item, 'explanation-in-stem', '' FROM x WHERE doc_id % 4 = 0
+ UNION ALL SELECT set_id, item, 'explanation-in-stem', substr(clean, 1, 160) FROM z WHERE {duck_has('stem', '(?i)' + P.EXPLANATION_START)} OR {duck_has('stem', P.LEAK_PHRASE)}
  UNION ALL SELECT set_id, item, 'key-mismatch', 'parsed ' || chr(CAST(65 + doc_id % 5 AS INTEGER)) || ' vs explanation C' FROM x WHERE doc_id % 5 <> 2
  UNION ALL SELECT set_id, item, 'too-few-choices', '1' FROM x WHERE doc_id % 3 = 0
- UNION ALL SELECT set_id, item, 'stem-not-in-pdf', '0% overlap :: alpha beta gamma delta epsilon zeta' FROM x WHERE doc_id % 4 = 1
- UNION ALL SELECT set_id, item, 'choice-not-in-pdf', 'A) lambda kappa omega' FROM x WHERE doc_id % 6 = 1"""
+ UNION ALL SELECT set_id, item, 'stem-not-in-pdf', CAST(round(share * 100) AS INTEGER) || '% overlap :: ' || array_to_string(words, ' ') FROM z WHERE len(words) >= 6 AND share < 0.5
+ UNION ALL SELECT set_id, item, 'choice-not-in-pdf', 'A) lambdax kappax omegax' FROM x WHERE doc_id % 6 = 1"""
 
 
 @query(_DISCREPANT)
 def qc_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, n = derived(spark, sf_dir, "pages_q"), F.col("doc_id")
+    """Documents as stems against sources that hold their text, or in a quarter of cases do not."""
+    numbered, docs = derived(spark, sf_dir, "pages_q").select("set_id", F.col("page_number").alias("item"), "doc_id"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows, n = numbered.join(docs, "doc_id"), F.col("doc_id")
     one = lambda label, text: F.struct(F.lit(label).alias("label"), F.lit(text).alias("text"))
     items = rows.select(
-        "set_id", F.col("page_number").alias("item"), F.when(n % 4 == 0, "Educational Objective: it").when(n % 4 == 1, "alpha beta gamma delta epsilon zeta").otherwise("rest and sleep").alias("stem"),
-        F.when(n % 3 == 0, F.array(one("A", "rest"))).when(n % 6 == 1, F.array(one("A", "lambda kappa omega"), one("B", "rest"))).otherwise(F.array(one("A", "rest"), one("B", "sleep"))).alias("choices"),
+        "set_id", "item", F.when(n % 4 == 0, F.concat("text", F.lit("\nEducational Objective: it"))).otherwise(F.col("text")).alias("stem"),
+        F.when(n % 3 == 0, F.array(one("A", "rest"))).when(n % 6 == 1, F.array(one("A", "lambdax kappax omegax"), one("B", "rest"))).otherwise(F.array(one("A", "rest"), one("B", "sleep"))).alias("choices"),
         F.chr(F.lit(65) + n % 5).alias("key"), F.lit("Correct Answer: C.").alias("explanation"), F.lit(False).alias("needs_figure"), F.lit(False).alias("needs_table"),
     )
-    sources = rows.select("set_id", F.col("page_number").alias("item"), F.lit("rest and sleep are best").alias("source"))
+    sources = rows.select("set_id", "item", F.when(n % 4 == 1, "rest and sleep are best").otherwise(F.concat("text", F.lit(" rest and sleep are best"))).alias("source"))
     return qc.discrepancies(items, sources)
 
 

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions.choices import label_votes, pad_choices, split_choices, release
 from ..functions.glyph import collapse_broken_spaces, spaced_glyphs
 from ..functions.rules import duck_first, duck_has, duck_letters, duck_sub, duck_trim, quoted
-from ..sources.derive import derived, duck
+from ..sources.derive import derived, duck, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +25,7 @@ PAGES_SQL = duck("pages_q", "pages_a") + ", pages_qa AS (SELECT set_id, kind, pa
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("set_id", "kind", "page_number", "text")
-    return derived(spark, sf_dir, "pages_q").select(*columns).unionByName(derived(spark, sf_dir, "pages_a").select(*columns))
+    return spread(derived(spark, sf_dir, "pages_q").select(*columns).unionByName(derived(spark, sf_dir, "pages_a").select(*columns)), *columns[:3])
 
 
 def on_pages(name: str, use: Callable[[Column], Column], sql: str | None = None, table: str = "pages_qa", before: str = "") -> None:
@@ -144,7 +144,7 @@ BANK = PAGES_SQL + f", q AS (SELECT set_id, page_number, doc_id, text, {CHOICES_
 
 def page_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """set_id, page_number, doc_id, stem, choices as split_choices reads them."""
-    rows = derived(spark, sf_dir, "pages_q").select("set_id", "page_number", "doc_id", split_choices(F.col("text")).alias("s"))
+    rows = spread(derived(spark, sf_dir, "pages_q"), "set_id", "page_number").select("set_id", "page_number", "doc_id", split_choices(F.col("text")).alias("s"))
     return rows.select("set_id", "page_number", "doc_id", release(F.col("s.stem")).alias("stem"), F.transform("s.choices", lambda c: F.struct(c["label"], release(F.split(c["text"], "\n")[0]).alias("text"))).alias("choices"))
 
 
@@ -183,7 +183,7 @@ def choice_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["choice_shape"] = choice_shape
 ORACLES["choice_shape"] = (
-    f"{BANK} SELECT set_id, page_number, 5 - doc_id % 2 AS n_filled, doc_id % 2 = 0 AS well_formed, doc_id % 2 = 0 AS complete, (5 - doc_id % 2) * 10 AS quality FROM q"
+    f"{BANK} SELECT set_id, page_number, len(list_filter(texts[1 + doc_id % 2:], lambda t: length(t) > 2)) AS n_filled, doc_id % 2 = 0 AS well_formed, doc_id % 2 = 0 AS complete, (5 - doc_id % 2) * 10 AS quality FROM q"
 )
 
 

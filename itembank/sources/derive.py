@@ -17,7 +17,7 @@ SQL: dict[str, str] = {
       || 'Time Remaining: 1 hr 02 min 33 sec' || chr(10) || 'Lab Values' || chr(10) || {_STEM} || chr(10) || 'Which of the following is the most likely diagnosis?' {'|| ' + _CHOICES}
       || chr(10) || 'Previous' || chr(10) || 'Next' AS text FROM ({_NUMBERED}) n""",
     "pages_a": f"""SELECT set_id, 'a' AS kind, CAST(2 * item AS INTEGER) AS page_number, doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Exam Section: Item ' || item || ' of 500' || chr(10) END
-      || CASE WHEN doc_id % 7 = 0 THEN '' ELSE item || '. ' END || {_AGED} || chr(10) || 'Correct Answer: ' || chr(CAST(65 + doc_id % 5 AS INTEGER)) || '.' || chr(10) || 'The findings fit choice ' || item || ' best.' || chr(10) || 'Score Report' AS text
+      || CASE WHEN doc_id % 7 = 0 THEN '' ELSE item || '. ' END || {_AGED} || chr(10) || 'Correct Answer: ' || chr(CAST(65 + doc_id % 5 AS INTEGER)) || '.' || chr(10) || 'The findings show that ' || item || ' is best.' || chr(10) || 'Score Report' AS text
       FROM ({_NUMBERED}) n WHERE doc_id % 11 <> 0
       UNION ALL SELECT set_id, 'a' AS kind, CAST(2 * item + 1 AS INTEGER) AS page_number, doc_id, 'Educational Objective: ' || text || ' It is followed by rest and by a second visit after some weeks, when tests are done again.' AS text
       FROM ({_NUMBERED}) n WHERE doc_id % 11 <> 0 AND doc_id % 5 = 0""",
@@ -59,6 +59,12 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name])
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over the session's shuffle partitions: parsing a page costs far more than moving it, and adaptive
+    execution would merge small partitions into a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def duck(*names: str) -> str:
     """WITH clause that defines the derived tables for DuckDB."""
     parts = [f"events_k AS ({EVENTS_K['duck']})"] if "attempts" in names else []
