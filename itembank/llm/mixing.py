@@ -6,7 +6,10 @@ rate's fraction.
 
 Defined cases: a null or blank text has size 0 and counts nothing; the null source is a source of its own, ordered last;
 documents with equal ids draw the same number (a null id draws by its text); a source without words has target 0 and
-emits nothing; an empty table gives an empty mix; only the named input columns are read by the plan.
+emits nothing; very long texts are counted whole; sources with equal ceiling over weight fill in order of source; an empty
+table gives an empty mix; `mixed` keeps every column of its input, also those named like the columns computed here.
+
+The table of sources has a row per source, not per document: it is shared out in one task, as levels need all of it.
 """
 
 from __future__ import annotations
@@ -63,9 +66,10 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: the columns of docs, each document as often as it is taken."""
-    taken = with_copies(docs, **kw).where("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: the columns of docs with their values, whatever their names, each document as often as it is taken."""
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    taken = with_copies(packed, **kw).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_report(docs: DataFrame, **kw) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import discard, sliced, stored
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -284,13 +284,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels_ = labels.select("node", "label")
+        near = both.join(labels_.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        spread = labels_.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = labels_.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = stored(spread.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        discard(labels)
+        labels = new
         if new.where("was <> label").isEmpty():
+            discard(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
 
 
 def linked_nodes(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -312,6 +315,7 @@ def linked_nodes(docs: DataFrame, similarity: float = SIMILARITY, block: int = B
     more = stored(links_between_classes(members, labels, nodes, texts, similarity, block), "links")
     if not more.isEmpty():
         labels = labelled(edges.unionAll(more))
+    discard(members, texts, edges, more)
     return rows.select("doc_id", "key"), nodes.select("key", "node", "first_id", "n"), labels
 
 

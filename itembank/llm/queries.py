@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, lm, mixing, neardup, quality, secrets, sharding, suffix, tokens
@@ -32,6 +31,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where vocabulary files lie; only this query needs them
+
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

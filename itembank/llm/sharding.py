@@ -9,13 +9,13 @@ an empty table gives an empty result and a map of empty slots; input columns nam
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_bytes, record_key, shared_dir
+from ..sources.io import fresh_dir
+from .common import n_bytes, record_key
 
 N_SLOTS = 4096
 MAP_SCHEMA = "virtual_slot int, shard int, slot_bytes long, slot_rows long, first_position long"
@@ -80,7 +80,7 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
 def balanced_map(slotted: DataFrame, n_shards: int, n_slots: int = N_SLOTS, path: str | None = None) -> tuple[str, int]:
     """Store version 1 (dealt) and version 2 (rebalanced on the measured bytes); return the folder and the version to use."""
     spark = slotted.sparkSession
-    path = path or f"{shared_dir(spark)}/slot_map-{uuid.uuid4().hex}"
+    path = path or fresh_dir(spark, "slot_map")
     loads = slot_loads(slotted, n_slots)
     first = dealt(n_slots, n_shards)
     save_map(spark, path, 1, first, loads)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from itembank.llm import chat, mixing, quality, queries, sharding, tokens
+from itembank.sources import io
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -173,3 +174,26 @@ def test_chat_odd(spark):
     assert {k: r.n_turns for k, r in got.items()} == {1: 2, None: 1, 2: 2}
     assert got[1].turns_sha256 == hashlib.sha256(b"user\nq\n\n\n").hexdigest()
     assert chat.chat_digest(chat.format_conversations(rows.where("false"))).count() == 0
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", "mine", 7, "t", None, 1.5), (2, "d e", "s", "own", 8, "u", 3, 2.5)], "doc_id long, text string, source string, size string, copies int, target string, source_size int, row double")
+    out = mixing.mixed(docs, share=2.0, ceiling=2.0)
+    assert out.schema == docs.schema and sorted(map(tuple, out.collect()), key=str) == sorted([tuple(r) for r in docs.collect()] * 2, key=str)
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        io.shared_dir(Session())
