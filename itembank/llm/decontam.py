@@ -10,7 +10,10 @@ documents in one pass without a shuffle.
 
 Defined cases: null and empty texts match nothing; an item of fewer than five tokens is never matched; items without
 an id are held against all documents too and reported with a null item_id; repeated items are reported once, repeated
-documents each; an empty benchmark leaves all documents clean.
+documents each; runs of equal length are tiled in order of their place in the item, then in the document; very long
+texts are tiled whole; an empty benchmark leaves all documents clean, an empty table gives no rows; other columns are not
+read, and `decontaminated` returns them as they are. A block holds about BLOCK_BYTES of benchmark text, so a benchmark of
+n times as much costs n looks at each document.
 """
 
 from __future__ import annotations

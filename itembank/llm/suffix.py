@@ -19,7 +19,8 @@ tuples. Each group is dealt in memory, so no group is gathered beyond SORTED_AT_
 very common grams by the longer context that their strings must share.
 
 Defined cases: null is the empty text; equal texts of LENGTH bytes or more, repeated rows included, are removed whole;
-shorter texts never change; an empty table gives no rows; only doc_id and text are read.
+shorter texts never change; very long texts are hashed in overlapping parts, with the same result; an empty table gives no
+rows; only doc_id and text are read.
 """
 
 from __future__ import annotations

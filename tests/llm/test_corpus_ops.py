@@ -513,3 +513,17 @@ def test_pipeline_stages(spark, sf01):
     assert set(columns) < set(docs.columns) and {r.shard for r in docs.select("shard").distinct().collect()} == set(range(24))
     assert counts[0][1] > counts[0][2] > counts[1][2] > counts[2][2] and counts[3][2] == counts[4][2]
     assert corpus_pipeline.run(spark, sf01).count() == counts[-1][2]
+
+
+def test_pipeline_stages_on_odd_and_no_rows(spark, sf01, odd, none):
+    """Null ids, texts and sources, empty and very long texts, repeats, and columns named like those that operators add."""
+    named = odd.withColumns({c: F.lit("mine") for c in ("size", "bands", "sketch", "label", "row", "shard_")})
+    for docs in (named, none):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf01)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.schema.names == docs.schema.names
+            rows = out.collect()
+            assert len(rows) <= 2 * len(ODD) if docs is named else not rows
+            if docs is named and k < len(corpus_pipeline.STAGES) - 1:
+                assert all(r.size == "mine" and r.label == "mine" for r in rows)
