@@ -3,6 +3,11 @@ mixed to target weights, put into shards.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
 columns of documents. A model or corpus statistic is always that of the stage's own input.
+
+Defined cases, beyond those of the operators: documents with null, empty or very short texts fail the quality rules and go
+there; very long texts are judged whole; rows that repeat a text leave one row, that with the least doc_id; null ids and
+sources are values of their own; every column of documents comes out of the first four stages as it was, also those named
+like columns that operators compute; an empty table gives no rows.
 """
 
 from __future__ import annotations
