@@ -13,7 +13,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.word_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lm.pair_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

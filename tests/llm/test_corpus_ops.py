@@ -126,6 +126,30 @@ def test_lm_words_brute_force(spark, odd, none, monkeypatch):
     assert lm.word_scores(none, labels.where("false")).count() == 0 and lm.word_scores(odd, labels.where("false")).count() == len(ODD)
 
 
+def test_lm_pairs_brute_force(spark, odd, none, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "é", "c", "word"]) for _ in range(rng.randint(0, 30)))) for i in range(30)] + ODD
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(1, 1, 1), (5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(20) if i % 2} - {1, 5}
+    words = [(i, (t or "").encode().split()) for i, t in rows]
+    size = sum(len(ws) for _, ws in words)
+
+    def plain(which):
+        found = Counter(p for i, ws in words if which(i) for p in zip([None, *ws], ws))
+        total = sum(found.values())
+        return lambda p: -math.log((lm.LONGER * found[p] / total if total else lm.LONGER / size) + (1 - lm.LONGER) / size)
+
+    for target, labelled in ((lambda i: i in good, labels), (lambda i: False, labels.where("false"))):
+        losses = [plain(target), plain(lambda i: True)]
+        want = sorted(((str(i), len(ws), *(sum(map(f, zip([None, *ws], ws))) / len(ws) if ws else None for f in losses)) for i, ws in words), key=lambda r: r[:2])
+        for most in (lm.PER_SLOT, 7):
+            monkeypatch.setattr(lm, "PER_SLOT", most)
+            got = sorted(((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm.pair_scores(frame(spark, rows), labelled).collect()), key=lambda r: r[:2])
+            assert [g[:2] for g in got] == [w[:2] for w in want]
+            assert all(a == pytest.approx(b, abs=2e-6) for g, w in zip(got, want) for a, b in zip(g[2:], w[2:]))
+    assert lm.pair_scores(none, labels.where("false")).count() == 0 and lm.pair_scores(odd, labels.where("false")).count() == len(ODD)
+
+
 def test_lm_query_counts_words(spark, sf):
     got = {r.doc_id: r.n_tokens for r in queries.op2_lm(spark, sf).collect()}
     assert got == {i: len((t or "").encode().split()) for i, t in texts(spark, sf).items()}
