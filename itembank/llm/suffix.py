@@ -40,6 +40,8 @@ LENGTH = 400
 GRAM = 50
 #: Surroundings of one group that are sorted at once at most. Larger groups are split before they are gathered.
 SORTED_AT_ONCE = 40_000
+#: Parts into which the surroundings of a gram are dealt while its totals are joined to them: one bit of a long each.
+PARTS = 64
 _POSITION = np.uint64((1 << 24) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -275,9 +277,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, at_o
     """key, start, end: bytes of distinct texts that a repeated string covers, in pieces that may overlap."""
     reach = length - gram
     rows = stored(anchor_rows(docs, length, gram).distinct(), "anchors")
-    kinds = rows.groupBy("hash", "around").agg(F.count("*").alias("equal"))
-    shared = kinds.groupBy("hash").agg(F.sum("equal").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    members = stored(rows.join(kinds, ["hash", "around"]).join(shared, "hash"), "shared_anchors")
+    kinds = rows.groupBy("hash", "around").agg(F.count("*").alias("equal")).withColumn("part", F.expr(f"cast(pmod(around, {PARTS}) as int)"))
+    # A common gram has very many surroundings. They are dealt into PARTS, and the totals of a gram go to the parts that it has.
+    shared = kinds.groupBy("hash").agg(F.sum("equal").alias("total"), F.count("*").alias("kinds"), F.expr("bit_or(shiftleft(1L, part))").alias("parts")).where("total > 1")
+    shared = shared.select("hash", "kinds", F.explode(F.expr(f"filter(sequence(0, {PARTS - 1}), p -> getbit(parts, p) = 1)")).alias("part"))
+    told = kinds.join(shared.hint("merge"), ["hash", "part"]).drop("part")
+    members = stored(rows.join(told.hint("merge"), ["hash", "around"]), "shared_anchors")
     start, end = F.greatest(F.col("place") - reach, F.lit(0)), F.least(F.col("place") + length, F.col("n_bytes"))
     counted = members.where("equal > 1").select("key", start.alias("start"), end.alias("end"))
 
