@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lm, mixing, neardup, quality, secrets, sharding, suffix, tokens
+from . import chat, decontam, infilling, lm, mixing, neardup, quality, secrets, sharding, spelling, suffix, tokens, toxicity
 from .common import table
 
 
@@ -55,5 +55,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_findings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm, op3_suffix, op4_mixing, op5_quality, op6_tokens, op7_decontam, op8_chat, op9_neardup, op10_secrets)}
-ORACLES = {"op4_mixing": mixing.MIX_SQL, "op8_chat": chat.CHAT_SQL}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity_scores(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.infill_digest(infilling.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+NUMBERED = (op1_sharding, op2_lm, op3_suffix, op4_mixing, op5_quality, op6_tokens, op7_decontam, op8_chat, op9_neardup, op10_secrets, op11_spelling, op12_toxicity, op13_infilling)
+QUERIES = {f.__name__: f for f in NUMBERED}
+ORACLES = {"op4_mixing": mixing.MIX_SQL, "op8_chat": chat.CHAT_SQL, "op13_infilling": infilling.INFILL_SQL}
