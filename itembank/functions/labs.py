@@ -55,12 +55,13 @@ SPELLING = [
     (r"(?i)/mm\s*3\b", "/mm³"), (r"(?i)(\d(?:\.\d+)?)\s*million\s*/mm(?:\s*3|³)?", r"$1 million/mm³"), (r"µm\s*3\b", "µm³"), (r"μm\s*3\b", "µm³"), (r"(?i)N=0o/o", "N=0%"), (r"\s+", " "),
 ]
 BROKEN_UNITS = [(r"(?i)/mm\s*\n\s*3\b", "/mm³"), (r"[µμ]m\s*\n\s*3\b", "µm³")]
-VALUE_FAMILIES = [
-    (r"%[^m]*\z", "percent"), (r"(?i)µm³|um\s*3|μm³|fL\b", "volume"), (r"(?i)ng/m[lL]", "ferritin"), (r"(?i)pg/(?:m[lL]|d[lL])", "pg"), (r"(?i)µg/d[lL]|mcg/d[lL]|μg/d[lL]", "iron"),
+#: Pattern, family, and for some a pattern that must not be found.
+VALUE_FAMILIES: list[tuple[str, ...]] = [
+    ("%", "percent", "mm"), (r"(?i)µm³|um\s*3|μm³|fL\b", "volume"), (r"(?i)ng/m[lL]", "ferritin"), (r"(?i)pg/(?:m[lL]|d[lL])", "pg"), (r"(?i)µg/d[lL]|mcg/d[lL]|μg/d[lL]", "iron"),
     (r"(?i)mm\s*/\s*h", "esr"), (r"(?i)mEq/L|mmol/L", "electrolyte"), (r"(?i)mg/d[lL]|mg/24\s*h", "chem"), (r"(?i)g/d[lL]", "protein"), (r"(?i)U/L", "enzyme"),
     (r"(?i)/mm³|/mm3|million/mm", "count"), (r"(?i)µU/m[lL]|μU/m[lL]", "tsh"), (r"(?i)mm\s*H2O|cm\s*H2O", "pressure"), (r"(?i)mm Hg", "gas"), (r"^1\.\d{3}", "sg"),
 ]
-NAME_FAMILIES = [
+NAME_FAMILIES: list[tuple[str, ...]] = [
     (r"(?i)mean corpuscular volume|^mcv\z", "volume"),
     (r"(?i)hematocrit|hemoglobin\s*a1c|hba1c|hemoglobin\s*a2|hemoglobin\s*[afsc]|reticulocyte|transferrin saturation|fractional excretion", "percent"),
     (r"(?i)hemoglobin(?:[^ ]| [^e]|\z)", "protein"), (r"(?i)ferritin", "ferritin"), (r"(?i)iron-binding|^tibc\z|^(?:serum )?iron\z", "iron"), (r"(?i)sedimentation", "esr"),
@@ -112,11 +113,14 @@ def compact(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"[\s-]+", ""))
 
 
-def family(text: Column, families: list[tuple[str, str]]) -> Column:
-    """The first family whose pattern is found; null if none."""
-    out = None
-    for pattern, name in families:
-        out = F.when(has(text, pattern), name) if out is None else out.when(has(text, pattern), name)
+def family(text: Column, families: list[tuple[str, ...]]) -> Column:
+    """The first family whose pattern is found, and whose third part, if it has one, is not; null if none."""
+    out = F
+    for pattern, name, *bar in families:
+        found = has(text, pattern)
+        for p in bar:
+            found = found & ~has(text, p)
+        out = out.when(found, name)
     return out
 
 
@@ -138,8 +142,8 @@ def value_number(value: Column) -> Column:
     return F.regexp_replace(F.nullif(F.regexp_extract(value, r"^<?([\d.,]+)", 1), F.lit("")), ",", "").try_cast("double")
 
 
-def duck_family(expr: str, families: list[tuple[str, str]]) -> str:
-    return "CASE " + " ".join(f"WHEN {duck_has(expr, p)} THEN '{n}'" for p, n in families) + " END"
+def duck_family(expr: str, families: list[tuple[str, ...]]) -> str:
+    return "CASE " + " ".join(f"WHEN {duck_has(expr, p)} {' '.join(f'AND NOT {duck_has(expr, b)}' for b in bar)} THEN '{n}'" for p, n, *bar in families) + " END"
 
 
 def duck_token(expr: str) -> str:

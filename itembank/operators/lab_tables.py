@@ -7,24 +7,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labs import NAME, NAMES, VALUE, compact, compatible, is_value, line_class, normalize_token
+from ..functions.lab_blocks import COLUMN_HEAD, SERIES_NAME, column_label, cut_series, format_labs, is_panel_section, lab_tokens, pair_tokens  # noqa: F401
+from ..functions.labs import NAMES, compact, is_name, is_section, is_value, line_class, normalize_token
 from ..functions.rules import has, once, sub, trim
 
-SECTION_WORD = "serum|urine|plasma|csf|complete blood count|on admission|now|day \\d+"
-TOKEN = rf"(?i)(?:^|(?<=\s))(?:{NAME}(?=\s|\z|\d)|{VALUE}|(?:{SECTION_WORD})(?=\s|:|\z)|\d+(?:\.\d+)?(?=\s|\z))"
-SHOWS = r"(?is)^.*?(?:(?:serum|laboratory|blood|urine|plasma|csf)\s+studies\s+show|laboratory findings(?:\s+show)?|blood gas.{0,90}?\s+shows?|urinalysis\s+shows?|fluid(?:\s+analysis)?\s+shows?)\s*:"
-SERIES_NAME = r"(?i)months ago|weeks ago|days ago|hours ago|blood pressure|temperature|time\s*\("
 SERIES_VALUE = r"(?:\d+(?:\.\d+)?|\d{2,3}/\d{2,3})"
 SERIES_LINE = rf"^\s*(\D\S*(?:\s+\D\S*)*?)\s+({SERIES_VALUE}(?:\s+{SERIES_VALUE}){{2,}})\s*$"
 UNIT_NEAR = r"(?i)(?:mEq/L|mg/dL|g/dL|/mm³|/hpf|mm Hg|µm³)"
-HEADER = r"(?i)^(on admission|now|day\s*\d+)\z"
 ASKS = r"(?i)which of the following|intravenous infusion of which"
-
-
-def lab_tokens(text: Column) -> Column:
-    """Names, values, section words and bare numbers of a block in order, up to its question; prose is passed over."""
-    block = once(normalize_token(text), lambda t: sub(t, [(rf"(?is)(?:{ASKS[4:]}).*\z", "")]))
-    return F.transform(F.regexp_extract_all(block, F.lit(TOKEN), F.lit(0)), trim)
+QUESTION = r"(?is)^(.*?)\s+((?:intravenous infusion of )?which of the following.*)\z"
+ROW = "array<struct<kind:string,name:string,cells:array<string>>>"
 
 
 def canonical_names(tokens: DataFrame) -> DataFrame:
@@ -52,86 +44,26 @@ def label_abg(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(F.col("starts"), "pH").when(back(1), "Pco2").when(back(2), "Po2")).drop("starts")
 
 
-_ITEMS = "array<struct<kind:string,text:string>>"
-
-
-def _emit(pending: Column, values: Column) -> Column:
-    """Headers as they are; each name takes the next compatible value after the one before."""
-    kind = "struct<out:array<string>,left:array<string>>"
-
-    def step(s: Column, item: Column) -> Column:
-        def take(k: Column) -> Column:
-            paired = F.struct(F.concat(s["out"], F.array(F.concat(item["text"], F.lit("\t"), F.get(s["left"], k)))).alias("out"), F.slice(s["left"], k + 2, F.size(s["left"]) + 1).alias("left")).cast(kind)
-            return F.when((item["kind"] == "name") & (k >= 0), paired).otherwise(F.struct(F.concat(s["out"], F.array(item["text"])).alias("out"), s["left"].alias("left")).cast(kind))
-
-        fits = F.transform(s["left"], lambda v: compatible(item["text"], v))
-        return once((F.array_position(fits, True) - 1).cast("int"), take)
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), values.alias("left")).cast(kind)
-    return F.aggregate(pending, start, step, lambda s: s["out"])
-
-
-def pair_tokens(tokens: Column) -> Column:
-    """`name<TAB>value` lines from tokens: runs of names meet the run of values behind them. Equal and compatible runs pair by
-    place, others by the next compatible value; with one name or one value, a value takes the first compatible name, names
-    that got none wait, and a value that fits none stands alone."""
-    def kind_at(t: Column, i: Column) -> Column:
-        heads = has(t, r"(?i)shows?:?\z") | (has(t, r"(?i)^protein\z") & has(F.coalesce(F.get(tokens, i + 1), F.lit("")), r"(?i)^(total|albumin)\z"))
-        return F.struct(F.when(heads, "section").otherwise(line_class(t)).alias("kind"), t.alias("text"))
-
-    kinds = F.transform(tokens, kind_at)
-    kind = f"struct<out:array<string>,pending:{_ITEMS},values:array<string>>"
-    none = F.array().cast("array<string>")
-
-    def state(out: Column, pending: Column, values: Column) -> Column:
-        return F.struct(out.alias("out"), pending.alias("pending"), values.alias("values")).cast(kind)
-
-    def singles(s: Column) -> Column:
-        inner = f"struct<out:array<string>,pending:{_ITEMS}>"
-
-        def step(t: Column, v: Column) -> Column:
-            heads = F.transform(F.filter(t["pending"], lambda p: p["kind"] != "name"), lambda p: p["text"])
-            names = F.filter(t["pending"], lambda p: p["kind"] == "name")
-
-            def take(k: Column) -> Column:
-                rest = F.filter(F.transform(names, lambda p, i: F.when(i != k, p)), lambda p: p.isNotNull())
-                line = F.when(k >= 0, F.concat(F.get(names, k)["text"], F.lit("\t"), v)).otherwise(v)
-                return F.struct(F.concat(t["out"], heads, F.array(line)).alias("out"), rest.alias("pending")).cast(inner)
-
-            return once((F.array_position(F.transform(names, lambda p: compatible(p["text"], v)), True) - 1).cast("int"), take)
-
-        start = F.struct(s["out"].alias("out"), s["pending"].alias("pending")).cast(inner)
-        return F.aggregate(s["values"], start, step, lambda t: state(t["out"], t["pending"], none))
-
-    def settled(s: Column) -> Column:
-        names = F.filter(s["pending"], lambda p: p["kind"] == "name")
-        many = (F.size(names) >= 2) & (F.size(s["values"]) >= 2)
-        return F.when(F.size(s["values"]) == 0, s).when(many, state(F.concat(s["out"], _emit(s["pending"], s["values"])), F.array().cast(_ITEMS), none)).otherwise(singles(s))
-
-    def step(s: Column, t: Column) -> Column:
-        def add(u: Column) -> Column:
-            item = F.struct(F.when(t["kind"] == "name", "name").otherwise("header").alias("kind"), trim(sub(t["text"], [(r":\z", "")])).alias("text"))
-            return F.when(t["kind"].isin("name", "section"), state(u["out"], F.concat(u["pending"], F.array(item)), u["values"])).otherwise(u)
-
-        value = state(s["out"], s["pending"], F.concat(s["values"], F.array(t["text"])))
-        return F.when(t["kind"] == "value", value).otherwise(once(settled(s), add))
-
-    start = state(none, F.array().cast(_ITEMS), none)
-    return F.aggregate(kinds, start, step, lambda s: once(settled(s), lambda u: F.concat(u["out"], _emit(u["pending"], none))))
-
-
 def two_column_panel(tokens: DataFrame) -> DataFrame:
-    """panel_id, place, name, first, second of panels with two column headers ("On admission" / "Now", "Day n"): names stand
-    before the first header, the columns behind the two."""
-    rows = tokens.where("token is not null").withColumn("head", has(F.col("token"), HEADER))
+    """panel_id, place, kind, name, first, second of panels with two column heads ("On admission" / "Now", "Day n"): the heads
+    at place 0 (kind header), then names in their order with the values of the same rank in both columns (kind row), and the
+    sections between them (kind section). Names stand before the first head, the columns behind the two."""
+    rows = tokens.where("token is not null").withColumn("head", has(F.col("token"), COLUMN_HEAD))
     by = Window.partitionBy("panel_id").orderBy("pos")
-    rows = rows.withColumn("column", F.sum(F.col("head").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    body = rows.where(~F.col("head") & ~((F.col("column") == 0) & (has(F.col("token"), r"(?i)shows?:?\z") | (line_class(F.col("token")) == "section"))))
-    body = body.withColumn("part", F.least("column", F.lit(2))).withColumn("place", F.row_number().over(Window.partitionBy("panel_id", "part").orderBy("pos")))
-    names = body.where("part = 0").select("panel_id", "place", F.col("token").alias("name"))
-    column = lambda k, name: body.where(F.col("part") == k).select("panel_id", "place", F.col("token").alias(name))
-    sizes = body.groupBy("panel_id").agg(*[F.count_if(F.col("part") == k).alias(f"n{k}") for k in range(3)]).where("n0 >= 2 and n1 >= 2 and n2 >= 2")
-    return names.join(sizes.select("panel_id"), "panel_id").join(column(1, "first"), ["panel_id", "place"], "left").join(column(2, "second"), ["panel_id", "place"], "left").select("panel_id", "place", "name", "first", "second")
+    past = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("part", F.least(F.sum(F.col("head").cast("int")).over(past), F.lit(2)))
+    rows = rows.withColumn("section", ~F.col("head") & (F.col("part") == 0) & is_panel_section(F.col("token")))
+    body = rows.where("not head").withColumn("place", F.row_number().over(Window.partitionBy("panel_id", "part").orderBy("pos")))
+    ranked = body.where("not section").withColumn("rank", F.row_number().over(Window.partitionBy("panel_id", "part").orderBy("pos")))
+    enough = ranked.groupBy("panel_id").agg(*[F.count_if(F.col("part") == k).alias(f"n{k}") for k in range(3)]).where("n0 >= 2 and n1 >= 2 and n2 >= 2").select("panel_id")
+    column = lambda k, name: ranked.where(F.col("part") == k).select("panel_id", "rank", F.col("token").alias(name))
+    named = ranked.where("part = 0").select("panel_id", "place", "rank", F.lit("row").alias("kind"), F.col("token").alias("name"))
+    named = named.join(column(1, "first"), ["panel_id", "rank"], "left").join(column(2, "second"), ["panel_id", "rank"], "left").drop("rank")
+    sections = body.where("section").select("panel_id", "place", F.lit("section").alias("kind"), sub(F.col("token"), [(r":\z", "")]).alias("name"))
+    heads = rows.where("head").withColumn("k", F.row_number().over(by)).groupBy("panel_id").agg(*[F.max(F.when(F.col("k") == k, column_label(F.col("token")))).alias(n) for k, n in ((1, "first"), (2, "second"))])
+    heads = heads.select("panel_id", F.lit(0).alias("place"), F.lit("header").alias("kind"), F.lit("").alias("name"), "first", "second")
+    whole = named.unionByName(sections, allowMissingColumns=True).unionByName(heads)
+    return whole.join(enough, "panel_id", "left_semi").select("panel_id", "place", "kind", "name", "first", "second")
 
 
 def series_tables(lines: DataFrame) -> DataFrame:
@@ -154,10 +86,31 @@ def is_cluster_line(line: Column) -> Column:
     return (trim(line) != "") & ~(has(line, ASKS) & ~tab) & inside
 
 
+def table_row(line: Column) -> Column:
+    """struct(kind, name, cells) of a laboratory line: header (cells without a name), section, or row."""
+    bare = trim(sub(F.concat(F.lit(" "), line), [(r"(?is)[ \n]+(?:intravenous infusion of )?which of the following.*\z", "")]))
+    row = lambda kind, name, cells: F.struct(F.lit(kind).alias("kind"), name.alias("name"), cells.alias("cells")).cast(ROW[6:-1])
+    cells = F.transform(F.split(sub(line, [(r"(?is)\s+(?:intravenous infusion of )?which of the following.*\z", "")]), "\t"), trim)
+    tabbed = once(cells, lambda c: once(F.slice(c, F.lit(2), F.size(c)), lambda rest: F.when((F.get(c, 0) == "") & F.exists(rest, lambda x: x != ""), row("header", F.lit(""), rest)).otherwise(row("row", F.get(c, 0), rest))))
+    alone = once(bare, lambda b: once(normalize_token(b), lambda t: F.when(is_section(t), row("section", b, F.array())).when(is_value(t), row("row", F.lit(""), F.array(b))).otherwise(row("row", b, F.array()))))
+    return F.when(F.contains(line, F.lit("\t")), tabbed).otherwise(alone)
+
+
+def stem_lines(stem: Column) -> Column:
+    """Lines of a stem; a question that stands on the line of a result is a line of its own."""
+
+    def parted(line: Column) -> Column:
+        result = once(trim(F.regexp_extract(line, QUESTION, 1)), lambda l: (l != "") & (F.contains(F.regexp_extract(line, QUESTION, 1), F.lit("\t")) | once(normalize_token(l), lambda t: is_name(t) | is_value(t))))
+        return F.when(has(line, QUESTION) & result, F.array(trim(F.regexp_extract(line, QUESTION, 1)), trim(F.regexp_extract(line, QUESTION, 2)))).otherwise(F.array(line))
+
+    return F.flatten(F.transform(F.split(stem, "\n"), parted))
+
+
 def stem_segments(stems: DataFrame) -> DataFrame:
-    """stems(item_id, stem) to item_id, seg, kind (labs or text), seg_start, text: runs of laboratory lines, at least two or with
-    a tab, apart from prose. Offsets are those of characters in the stem."""
-    rows = stems.select("item_id", F.posexplode(F.split("stem", "\n")).alias("at", "line")).withColumn("lab", is_cluster_line(F.col("line")))
+    """stems(item_id, stem) to item_id, seg, kind (labs or text), seg_start, text, rows: runs of laboratory lines, at least two
+    or with a tab, apart from prose. Offsets are those of characters in the stem. `rows` has the lines of a laboratory segment
+    as header, section and row records with their cells; null for text."""
+    rows = stems.select("item_id", F.posexplode(stem_lines(F.col("stem"))).alias("at", "line")).withColumn("lab", is_cluster_line(F.col("line")))
     by = Window.partitionBy("item_id").orderBy("at")
     past = by.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("offset", F.sum(F.length("line") + 1).over(past) - F.length("line") - 1)
@@ -165,16 +118,7 @@ def stem_segments(stems: DataFrame) -> DataFrame:
     run = Window.partitionBy("item_id", "run")
     rows = rows.withColumn("labs", F.col("lab") & ((F.count("*").over(run) >= 2) | F.max(F.contains(F.col("line"), F.lit("\t")).cast("int")).over(run).cast("boolean")))
     rows = rows.withColumn("seg", F.sum((F.col("labs") != F.coalesce(F.lag("labs").over(by), ~F.col("labs"))).cast("int")).over(past))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    out = rows.groupBy("item_id", "seg").agg(F.when(F.bool_or("labs"), "labs").otherwise("text").alias("kind"), F.min("offset").alias("seg_start"), text.alias("text"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    out = rows.groupBy("item_id", "seg").agg(F.when(F.bool_or("labs"), "labs").otherwise("text").alias("kind"), F.min("offset").alias("seg_start"), lines.alias("lines"))
+    out = out.select("item_id", "seg", "kind", "seg_start", F.array_join("lines", "\n").alias("text"), F.when(F.col("kind") == "labs", F.transform("lines", table_row)).alias("rows"))
     return out.where("kind = 'labs' or text <> ''").withColumn("seg", F.row_number().over(Window.partitionBy("item_id").orderBy("seg_start", "seg")))
-
-
-def format_labs(stem: Column) -> Column:
-    """A stem whose laboratory block is written as one `name<TAB>value` line per result, its question as a paragraph."""
-    head, rest = F.regexp_extract(stem, SHOWS, 0), lambda: F.substr(stem, F.length(F.regexp_extract(stem, SHOWS, 0)) + 1)
-    asks = F.regexp_extract(rest(), rf"(?is)((?:intravenous infusion of )?which of the following.*)\z", 1)
-    body = sub(rest(), [(r"(?is)(?:intravenous infusion of )?which of the following.*\z", "")])
-    lines = F.array_join(once(lab_tokens(body), pair_tokens), "\n")
-    out = F.concat_ws("\n", trim(head), F.nullif(lines, F.lit("")))
-    return F.when(head == "", stem).otherwise(F.when(asks == "", out).otherwise(F.concat(out, F.lit("\n\n"), trim(asks))))

@@ -12,8 +12,9 @@ from ..functions.choices import (
     choice, drop_explaining, expand_table, last_real, marked_up, normalize_choices, pad_choices, protect_temperatures, raw_choices, release, repair_two_columns, retext, sort_choices, split_merged,
     tidy_stem,
 )
-from ..functions.labs import UNITS, join_broken_units
-from ..functions.predicates import is_cover_page, needs_figure, needs_table
+from ..functions.lab_blocks import LAST_PERCENT, SALINE, format_labs, peel_tail
+from ..functions.labs import join_broken_units
+from ..functions.predicates import is_cover_page, is_percent, needs_figure, needs_table
 from ..functions.rules import has, once, settled, sub, trim
 from ..functions.text import clean_page_text, extract_explanation, item_number, key_of, polish_stem, strip_chrome, strip_explanation, strip_footer
 
@@ -26,20 +27,31 @@ DRAFT = (
     "set_id string, item int, stem string, choices array<struct<label:string,text:string>>, key string, explanation string, warnings array<string>, question_page int, "
     "needs_figure boolean, needs_table boolean"
 )
-#: Laboratory values that a page break has glued to a choice.
-LAB_TAIL = rf"(?is)\s(?:[\d.,]+\s*{UNITS}|\d+\s*-\s*\d+\s*/(?:hpf|lpf)|[1-4]\+\s+(?:[1-4]\+|trace|negative|none)|(?:trace|none)\s+(?:trace|none|[1-4]\+)).*\z"
-
-
-def peel_lab_tail(text: Column) -> Column:
-    """struct(text, tail): a choice, and the laboratory values stuck to its end. A choice that is nothing else stays."""
-    head = trim(sub(text, [(LAB_TAIL, "")]))
-    cut = (head != "") & (F.length(head) < F.length(trim(text)))
-    return F.struct(F.when(cut, head).otherwise(trim(text)).alias("text"), F.when(cut, trim(F.substr(trim(text), F.length(head) + 1))).otherwise("").alias("tail"))
+#: Units of results that take a percentage back from the last choice.
+HANDS_BACK = r"(?i)/mm³|/hpf|mEq/L|mg/dL"
+#: A stem of a table ends at its question mark, before the head of the table.
+TABLE_END = (r"(?is)\A(.*?\?)\s*(?:Specific|Gravity|WBC|RBC|\z).*", "$1")
+
+
+def handed_over(rows: DataFrame) -> DataFrame:
+    """rows(tidied choices) with `choices` in order, and `extra`: laboratory names and values that stood on choices, and a
+    percentage at the end of the last choice where those values are counts or amounts (not of saline, nor a choice that is
+    a percentage)."""
+    out = rows.withColumn("peeled", F.transform("tidied", lambda c: F.struct(c["label"].alias("label"), peel_tail(c["text"]).alias("cut"))))
+    out = out.withColumn("sorted", sort_choices(F.transform("peeled", lambda c: choice(c["label"], c["cut"]["text"]))))
+    out = out.withColumn("extra", F.flatten(F.transform("peeled", lambda c: c["cut"]["tokens"])))
+    last = F.coalesce(F.try_element_at("sorted", F.lit(-1))["text"], F.lit(""))
+    percent = F.regexp_extract(last, LAST_PERCENT, 2)
+    back = F.exists("extra", lambda t: has(t, HANDS_BACK)) & (percent != "") & ~has(percent, SALINE) & ~is_percent(last)
+    out = settled(out.withColumn("back", F.when(back, percent)), "sorted", "extra", "back")
+    kept = F.transform("sorted", lambda c, i: F.when(F.col("back").isNotNull() & (i == F.size("sorted") - 1), choice(c["label"], trim(F.regexp_extract(c["text"], LAST_PERCENT, 1)))).otherwise(c))
+    return out.withColumns({"choices": kept, "extra": F.concat(F.array_compact(F.array("back")), "extra")})
 
 
 def recovered(pages: DataFrame) -> DataFrame:
-    """pages (cleaned, item) with stem and choices: choices may stand before or after the vignette, and laboratory values
-    on choices go back to the stem. Steps are columns of their own, so none is computed twice."""
+    """pages (cleaned, item) with stem and choices: choices may stand before or after the vignette, laboratory values on
+    choices go back to the stem's block, and the block is written as lines of cells. Steps are columns of their own, so none
+    is computed twice."""
     out = pages.withColumn("prepared", marked_up(protect_temperatures(strip_footer(F.col("cleaned")))))
     number = F.coalesce(F.col("item").cast("string"), F.lit(r"\d{1,3}"))
     marker = F.concat(F.lit(r"(?s)^(.*?)(?:^|\n)\s*"), number, F.lit(r"\.\s+(?=[A-Z0-9])"))
@@ -56,15 +68,14 @@ def recovered(pages: DataFrame) -> DataFrame:
     out = out.withColumn("listed", drop_explaining(F.col("merged")))
     out = out.withColumn("repaired", repair_two_columns(F.col("listed")))
     out = out.withColumn("tidied", once(last_real(F.col("repaired")), normalize_choices))
-    out = out.withColumn("peeled", F.transform("tidied", lambda c: F.struct(c["label"].alias("label"), peel_lab_tail(c["text"]).alias("cut"))))
-    out = out.withColumn("choices", sort_choices(F.transform("peeled", lambda c: choice(c["label"], c["cut"]["text"]))))
-    tails = F.filter(F.transform("peeled", lambda c: c["cut"]["tail"]), lambda t: t != "")
+    out = handed_over(out)
     stem = F.when(F.size("raw.choices") == 0, F.col("raw.stem")).otherwise(tidy_stem(F.col("raw.stem")))
     stem = F.when(F.col("ahead"), F.concat_ws("\n\n", F.nullif(stem, F.lit("")), F.nullif(F.col("after"), F.lit("")))).otherwise(stem)
-    out = out.withColumn("stem", F.concat_ws("\n", strip_explanation(stem), F.when(F.size(tails) > 0, F.array_join(tails, "\n"))))
-    out = out.withColumn("stem", strip_explanation(sub(polish_stem(join_broken_units(F.col("stem"))), [(r"(?i)\?\s+[\d+.\s\-/%hfpmmdlU]+\s*\z", "?")])))
+    out = format_labs(settled(out.withColumn("stem", join_broken_units(strip_explanation(stem))), "stem"), "stem", "extra")
+    out = out.withColumn("stem", strip_explanation(sub(polish_stem(F.col("stem")), [(r"(?i)\?\s+[\d+.\s\-/%hfpmmdlU]+\s*\z", "?")])))
     table = needs_table(F.col("stem"), F.col("choices")) | has(F.col("prepared"), P.TABLE_STEM)
-    out = out.withColumn("choices", F.when(table, expand_table(F.col("choices"), F.col("prepared"))).otherwise(F.col("choices")))
+    out = settled(out.withColumn("table", table), "stem", "table")
+    out = out.withColumns({"choices": F.when(F.col("table"), expand_table(F.col("choices"), F.col("prepared"))).otherwise(F.col("choices")), "stem": F.when(F.col("table"), trim(sub(F.col("stem"), [TABLE_END]))).otherwise(F.col("stem"))})
     return out.select(*pages.columns, release(F.col("stem")).alias("stem"), retext(F.col("choices"), release).alias("choices"))
 
 

@@ -38,6 +38,12 @@ SQL: dict[str, str] = {
     "segments": "SELECT DISTINCT l_orderkey AS item_id, l_linenumber AS seg, CAST(30 * (l_linenumber - 1) AS INTEGER) AS seg_start, 25 AS seg_length FROM lineitem",
     "labs": """SELECT l_orderkey AS panel_id, l_linenumber AS pos, CASE l_partkey % 6 WHEN 0 THEN 'Hematocrit' WHEN 1 THEN 'Leukocyte count' WHEN 2 THEN 'Na+' WHEN 3 THEN 'Creatinine' WHEN 4 THEN 'ALT' ELSE 'Ferritin' END AS name,
       CAST(l_quantity AS INTEGER) || CASE l_partkey % 6 WHEN 0 THEN '%' WHEN 1 THEN '00/mm³' WHEN 2 THEN ' mEq/L' WHEN 3 THEN ' mg/dL' WHEN 4 THEN ' U/L' ELSE ' ng/mL' END AS value FROM lineitem""",
+    # question pages with results: stacked, names before values, on one line, or with the values glued to the last choice
+    "lab_pages": """SELECT panel_id AS page_number, 'Exam Section: Item ' || (panel_id % 300 + 1) || ' of 500' || chr(10) || 'Lab Values' || chr(10) || (panel_id % 300 + 1) || '. A ' || (20 + panel_id % 60) || '-year-old woman has had pain for ' || (1 + panel_id % 9) || ' days.' || chr(10) || 'Laboratory studies show:' || chr(10)
+      || CASE form WHEN 0 THEN stacked WHEN 1 THEN names || chr(10) || values_down WHEN 2 THEN packed ELSE names END
+      || CASE WHEN panel_id % 3 = 0 THEN chr(10) || 'An x-ray of the chest shows congestion.' ELSE '' END || chr(10) || 'Which of the following is the most likely diagnosis?'
+      || chr(10) || 'A) Arterial embolism' || chr(10) || 'B) Chronic gastritis' || chr(10) || 'C) Viral hepatitis' || chr(10) || 'D) Renal colic and pain' || chr(10) || 'E) No abnormality' || CASE WHEN form = 3 THEN ' ' || values_across ELSE '' END
+      || chr(10) || 'Previous' || chr(10) || 'Next' AS text, form, cells, packed FROM lab_forms""",
     # blocks of results: names and values in turn; bare blood gases; lines of series; stems with and without results
     "gases": "SELECT l_orderkey AS panel_id, l_linenumber AS pos, CASE l_partkey % 5 WHEN 0 THEN '7.4' WHEN 1 THEN '38 mm Hg' WHEN 2 THEN '60 mm Hg' WHEN 3 THEN 'pH' ELSE '40 mm Hg' END AS token FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_partkey FROM lineitem)",
     "series": """SELECT l_orderkey AS panel_id, l_linenumber AS line_no, l_partkey % 4 AS kind, CASE l_partkey % 4 WHEN 0 THEN 'Months ago 1 2 3' WHEN 1 THEN 'Blood pressure 120/80 130/85 140/90 150/95' WHEN 2 THEN 'He feels well.' ELSE 'Pulse rate 60 70 80 90 100' END AS line
@@ -51,11 +57,24 @@ SQL: dict[str, str] = {
 EVENTS_K = {"spark": "SELECT *, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "duck": "SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"}
 
 
+#: Results of each panel as text in order, percentages last; a panel of percentages alone has no values on its choices.
+_JOINED = {"spark": "array_join(transform(array_sort(collect_list(struct(pct, pos, {0} AS v))), x -> x.v), {1})", "duck": "string_agg({0}, {1} ORDER BY pct, pos)"}
+LAB_FORMS = {
+    engine: f"""SELECT panel_id, CASE WHEN panel_id % 4 = 3 AND min(pct) = 1 THEN 0 ELSE panel_id % 4 END AS form, {joined.format("name", "chr(10)")} AS names, {joined.format("value", "chr(10)")} AS values_down, {joined.format("value", "' '")} AS values_across,
+      {joined.format("name || chr(10) || value", "chr(10)")} AS stacked, {joined.format("name || ' ' || value", "' '")} AS packed, {joined.format("name || chr(9) || value", "chr(10)")} AS cells
+      FROM (SELECT panel_id, pos, split_part(nv, '|', 1) AS name, split_part(nv, '|', 2) AS value, CASE WHEN right(nv, 1) = '%' THEN 1 ELSE 0 END AS pct
+        FROM (SELECT panel_id, pos, min(name || '|' || value) AS nv FROM ({SQL["labs"]}) l GROUP BY panel_id, pos) m) o GROUP BY panel_id"""
+    for engine, joined in _JOINED.items()
+}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table over the tables in sf_dir."""
     for table in TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     spark.sql(EVENTS_K["spark"]).createOrReplaceTempView("events_k")
+    if name == "lab_pages":
+        spark.sql(LAB_FORMS["spark"]).createOrReplaceTempView("lab_forms")
     return spark.sql(SQL[name])
 
 
@@ -68,4 +87,5 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
 def duck(*names: str) -> str:
     """WITH clause that defines the derived tables for DuckDB."""
     parts = [f"events_k AS ({EVENTS_K['duck']})"] if "attempts" in names else []
+    parts += [f"lab_forms AS ({LAB_FORMS['duck']})"] if "lab_pages" in names else []
     return "WITH " + ", ".join(parts + [f"{n} AS ({SQL[n]})" for n in names]) + " "
