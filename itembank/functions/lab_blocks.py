@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labs import NAME, NAME_HINT, NAMES, SECTION, SHORT_NAME, STOP, VALUE, compact, compatible, is_section, is_value, line_class, normalize_token
-from .rules import has, once, settled, sub, trim
+from .rules import has, once, per_session, settled, sub, trim
 
 _END = r"(?=\s|\z)"
 _STOPS = STOP.removeprefix("(?i)^")
@@ -367,30 +367,43 @@ def with_percent(tokens: Column, percent: Column) -> Column:
     return F.when(percent.isNotNull() & F.exists(tokens, lambda t: has(t, LAB_UNIT)), put).otherwise(tokens)
 
 
-def format_labs(rows: DataFrame, column: str = "stem", extra: str | None = None) -> DataFrame:
-    """rows whose stems have their laboratory block as lines of cells, its prose behind it, its question as a paragraph of its
-    own. extra: an array column of tokens from elsewhere on the page (its choices) that belong to the block. Without a block,
-    series are written as cells. A row in, a row out, no shuffle; null stays null."""
+@per_session
+def _format_steps(column: str, extra: str | None) -> tuple[Column, ...]:
     stem, none = F.col(column), none_yet()
-    out = rows.withColumn("_at", block_start(stem))
-    out = out.withColumn("_rest", F.when(F.col("_at") > 0, F.substr(stem, F.col("_at"), F.length(stem))))
     named, any_ = F.regexp_extract("_rest", rf"(?is)\A{_STUDIES}", 0), F.regexp_extract("_rest", r"(?is)\A.*?shows?:\s*", 0)
-    out = out.withColumn("_head", F.when(F.col("_rest").isNotNull(), F.coalesce(F.nullif(named, F.lit("")), F.nullif(any_, F.lit("")), F.col("_rest"))))
     tail = F.substr(F.col("_rest"), F.length("_head") + 1, F.length("_rest"))
-    out = out.withColumn("_body", sub(tail, [(rf"(?is){_ASKS}.*\z", "")]))
-    out = out.withColumn("_after", F.substr(tail, F.length("_body") + 1, F.length("_rest")))
-    out = settled(out, "_at", "_head", "_body", "_after").withColumn("_lines", block_lines(F.col("_body")))
     more = F.flatten(F.transform(F.col(extra), lambda t: once(normalize_token(t), scan_line))) if extra else none
     nothing = F.struct(none.alias("tokens"), F.lit(None).cast("string").alias("percent"))
-    out = out.withColumns({"_more": F.when(F.col("_body").isNotNull(), more), "_behind": F.when(F.col("_after") != "", tokens_behind_question(F.col("_after"))).otherwise(nothing)})
-    out = settled(out, "_lines", "_more", "_behind")
-    out = out.withColumn("_tokens", with_percent(F.concat(tokens_of(F.col("_lines")), "_more", F.col("_behind")["tokens"]), F.col("_behind")["percent"]))
-    out = settled(out.withColumn("_tokens", named_gases(F.col("_tokens"))), "_tokens")
-    out = settled(out.withColumn("_cells", F.coalesce(paired_columns(F.col("_tokens")), paired_runs(F.col("_tokens")))), "_cells")
+    found = F.concat(tokens_of(F.col("_lines")), "_more", F.col("_behind")["tokens"])
     prefix = sub(F.substring(stem, F.lit(1), F.col("_at") - 1), [(r"\s+\z", "")])
     parts = F.concat(F.array(prefix, trim(sub(F.col("_head"), [(r"\s+", " ")]))), "_cells", F.array(leftover_prose(F.col("_lines"))))
-    out = out.withColumn("_whole", F.when(F.col("_at") > 0, F.array_join(F.filter(parts, lambda l: l != ""), "\n")).otherwise(stem))
     question = trim(sub(F.regexp_extract("_after", rf"(?is)({_ASKS}.*?\?)", 1), [(r"\s+", " "), ("^which", "Which")]))
     written = format_series(F.col("_whole"))
-    out = out.withColumn(column, F.when(F.col("_at") > 0, F.concat_ws("\n\n", sub(written, [(r"\s+\z", "")]), F.nullif(question, F.lit("")))).otherwise(written))
-    return settled(out.select(*rows.columns), column)
+    return (
+        block_start(stem),
+        F.when(F.col("_at") > 0, F.substr(stem, F.col("_at"), F.length(stem))),
+        F.when(F.col("_rest").isNotNull(), F.coalesce(F.nullif(named, F.lit("")), F.nullif(any_, F.lit("")), F.col("_rest"))),
+        sub(tail, [(rf"(?is){_ASKS}.*\z", "")]),
+        F.substr(tail, F.length("_body") + 1, F.length("_rest")),
+        block_lines(F.col("_body")),
+        F.when(F.col("_body").isNotNull(), more),
+        F.when(F.col("_after") != "", tokens_behind_question(F.col("_after"))).otherwise(nothing),
+        with_percent(found, F.col("_behind")["percent"]),
+        named_gases(F.col("_tokens")),
+        F.coalesce(paired_columns(F.col("_tokens")), paired_runs(F.col("_tokens"))),
+        F.when(F.col("_at") > 0, F.array_join(F.filter(parts, lambda l: l != ""), "\n")).otherwise(stem),
+        F.when(F.col("_at") > 0, F.concat_ws("\n\n", sub(written, [(r"\s+\z", "")]), F.nullif(question, F.lit("")))).otherwise(written),
+    )
+
+
+def format_labs(rows: DataFrame, column: str = "stem", extra: str | None = None) -> DataFrame:
+    """rows whose stems have their laboratory block as lines of cells, its prose behind it, its question as a paragraph of its
+    own. extra: an array column of tokens from elsewhere on the page (its choices) that belong to the block. Without a block,
+    series are written as cells. A row in, a row out, no shuffle; null stays null."""
+    at, rest, head, body, after, lines, more, behind, tokens, gases, cells, whole, written = _format_steps(column, extra)
+    out = rows.withColumn("_at", at).withColumn("_rest", rest).withColumn("_head", head).withColumn("_body", body).withColumn("_after", after)
+    out = settled(out, "_at", "_head", "_body", "_after").withColumns({"_lines": lines, "_more": more, "_behind": behind})
+    out = settled(out, "_lines", "_more", "_behind").withColumn("_tokens", tokens)
+    out = settled(out.withColumn("_tokens", gases), "_tokens")
+    out = settled(out.withColumn("_cells", cells), "_cells")
+    return settled(out.withColumn("_whole", whole).withColumn(column, written).select(*rows.columns), column)

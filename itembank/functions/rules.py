@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .patterns import TRIM, java
@@ -53,6 +53,21 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.inline_outer(F.array(F.struct(*names)))).select(*df.columns)
 
 
+def per_session(build: Callable[..., tuple[Column, ...]]) -> Callable[..., tuple[Column, ...]]:
+    """build(*names) kept for the running application: columns over named columns serve every frame that has these, and
+    making the long ones takes seconds."""
+    kept: dict[tuple, tuple[Column, ...]] = {}
+
+    def built(*names: str | None) -> tuple[Column, ...]:
+        key = (SparkSession.active().sparkContext.applicationId, *names)
+        if key not in kept:
+            kept.clear() if any(k[0] != key[0] for k in kept) else None
+            kept[key] = build(*names)
+        return kept[key]
+
+    return built
+
+
 def until_same(text: Column, step: Callable[[Column], Column], rounds: int) -> Column:
     """step applied again and again, until it changes nothing or the rounds are over. Null stays null."""
     kind = "struct<text:string,done:boolean>"

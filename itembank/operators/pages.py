@@ -15,7 +15,7 @@ from ..functions.choices import (
 from ..functions.lab_blocks import LAST_PERCENT, SALINE, format_labs, peel_tail
 from ..functions.labs import join_broken_units
 from ..functions.predicates import is_cover_page, is_percent, needs_figure, needs_table
-from ..functions.rules import has, once, settled, sub, trim
+from ..functions.rules import has, once, per_session, settled, sub, trim
 from ..functions.text import clean_page_text, extract_explanation, item_number, key_of, polish_stem, strip_chrome, strip_explanation, strip_footer
 
 # Messages that users see.
@@ -33,50 +33,78 @@ HANDS_BACK = r"(?i)/mm³|/hpf|mEq/L|mg/dL"
 TABLE_END = (r"(?is)\A(.*?\?)\s*(?:Specific|Gravity|WBC|RBC|\z).*", "$1")
 
 
+@per_session
+def _hand_over_steps() -> tuple[Column, ...]:
+    last = F.coalesce(F.try_element_at("sorted", F.lit(-1))["text"], F.lit(""))
+    percent = F.regexp_extract(last, LAST_PERCENT, 2)
+    back = F.exists("extra", lambda t: has(t, HANDS_BACK)) & (percent != "") & ~has(percent, SALINE) & ~is_percent(last)
+    shorter = lambda c: choice(c["label"], trim(F.regexp_extract(c["text"], LAST_PERCENT, 1)))
+    return (
+        F.transform("tidied", lambda c: F.struct(c["label"].alias("label"), peel_tail(c["text"]).alias("cut"))),
+        sort_choices(F.transform("peeled", lambda c: choice(c["label"], c["cut"]["text"]))),
+        F.flatten(F.transform("peeled", lambda c: c["cut"]["tokens"])),
+        F.when(back, percent),
+        F.transform("sorted", lambda c, i: F.when(F.col("back").isNotNull() & (i == F.size("sorted") - 1), shorter(c)).otherwise(c)),
+        F.concat(F.array_compact(F.array("back")), "extra"),
+    )
+
+
 def handed_over(rows: DataFrame) -> DataFrame:
     """rows(tidied choices) with `choices` in order, and `extra`: laboratory names and values that stood on choices, and a
     percentage at the end of the last choice where those values are counts or amounts (not of saline, nor a choice that is
     a percentage)."""
-    out = rows.withColumn("peeled", F.transform("tidied", lambda c: F.struct(c["label"].alias("label"), peel_tail(c["text"]).alias("cut"))))
-    out = out.withColumn("sorted", sort_choices(F.transform("peeled", lambda c: choice(c["label"], c["cut"]["text"]))))
-    out = out.withColumn("extra", F.flatten(F.transform("peeled", lambda c: c["cut"]["tokens"])))
-    last = F.coalesce(F.try_element_at("sorted", F.lit(-1))["text"], F.lit(""))
-    percent = F.regexp_extract(last, LAST_PERCENT, 2)
-    back = F.exists("extra", lambda t: has(t, HANDS_BACK)) & (percent != "") & ~has(percent, SALINE) & ~is_percent(last)
-    out = settled(out.withColumn("back", F.when(back, percent)), "sorted", "extra", "back")
-    kept = F.transform("sorted", lambda c, i: F.when(F.col("back").isNotNull() & (i == F.size("sorted") - 1), choice(c["label"], trim(F.regexp_extract(c["text"], LAST_PERCENT, 1)))).otherwise(c))
-    return out.withColumns({"choices": kept, "extra": F.concat(F.array_compact(F.array("back")), "extra")})
+    peeled, in_order, tokens, back, choices, extra = _hand_over_steps()
+    out = settled(rows.withColumn("peeled", peeled), "peeled").withColumn("sorted", in_order).withColumn("extra", tokens)
+    out = settled(out.withColumn("back", back), "sorted", "extra", "back")
+    return out.withColumns({"choices": choices, "extra": extra})
 
 
-def recovered(pages: DataFrame) -> DataFrame:
-    """pages (cleaned, item) with stem and choices: choices may stand before or after the vignette, laboratory values on
-    choices go back to the stem's block, and the block is written as lines of cells. Steps are columns of their own, so none
-    is computed twice."""
-    out = pages.withColumn("prepared", marked_up(protect_temperatures(strip_footer(F.col("cleaned")))))
+@per_session
+def _layout_steps() -> tuple[Column, ...]:
     number = F.coalesce(F.col("item").cast("string"), F.lit(r"\d{1,3}"))
     marker = F.concat(F.lit(r"(?s)^(.*?)(?:^|\n)\s*"), number, F.lit(r"\.\s+(?=[A-Z0-9])"))
     before = F.call_function("regexp_extract", F.col("prepared"), marker, F.lit(1))
     found = F.regexp_like("prepared", F.concat(F.lit(r"(?:^|\n)\s*"), number, F.lit(r"\.\s+(?=[A-Z0-9])")))
-    out = out.withColumns({"before": F.when(found, before), "after": F.when(found, F.substr(F.col("prepared"), F.length(before) + 1))})
-    out = out.withColumn("after", strip_explanation(sub(trim(F.col("after")), [(r"^\s*\d{1,3}\.\s+", "")])))
     own = F.col("before").isNotNull() & has(F.col("after"), P.ANY_CHOICE)
     ahead = F.col("before").isNotNull() & has(F.col("before"), P.ANY_CHOICE) & ~own
-    out = out.withColumns({"own": own, "ahead": ahead})
     body = F.when(F.col("ahead"), F.col("before")).when(F.col("own"), F.concat(F.lit("\n"), F.col("after"))).otherwise(F.col("prepared"))
-    out = out.withColumn("raw", once(body, raw_choices))
-    out = out.withColumn("merged", split_merged(F.col("raw.choices")))
-    out = out.withColumn("listed", drop_explaining(F.col("merged")))
-    out = out.withColumn("repaired", repair_two_columns(F.col("listed")))
-    out = out.withColumn("tidied", once(last_real(F.col("repaired")), normalize_choices))
-    out = handed_over(out)
     stem = F.when(F.size("raw.choices") == 0, F.col("raw.stem")).otherwise(tidy_stem(F.col("raw.stem")))
     stem = F.when(F.col("ahead"), F.concat_ws("\n\n", F.nullif(stem, F.lit("")), F.nullif(F.col("after"), F.lit("")))).otherwise(stem)
-    out = format_labs(settled(out.withColumn("stem", join_broken_units(strip_explanation(stem))), "stem"), "stem", "extra")
-    out = out.withColumn("stem", strip_explanation(sub(polish_stem(F.col("stem")), [(r"(?i)\?\s+[\d+.\s\-/%hfpmmdlU]+\s*\z", "?")])))
     table = needs_table(F.col("stem"), F.col("choices")) | has(F.col("prepared"), P.TABLE_STEM)
-    out = settled(out.withColumn("table", table), "stem", "table")
-    out = out.withColumns({"choices": F.when(F.col("table"), expand_table(F.col("choices"), F.col("prepared"))).otherwise(F.col("choices")), "stem": F.when(F.col("table"), trim(sub(F.col("stem"), [TABLE_END]))).otherwise(F.col("stem"))})
-    return out.select(*pages.columns, release(F.col("stem")).alias("stem"), retext(F.col("choices"), release).alias("choices"))
+    return (
+        marked_up(protect_temperatures(strip_footer(F.col("cleaned")))),
+        F.when(found, before),
+        F.when(found, F.substr(F.col("prepared"), F.length(before) + 1)),
+        strip_explanation(sub(trim(F.col("after")), [(r"^\s*\d{1,3}\.\s+", "")])),
+        own,
+        ahead,
+        once(body, raw_choices),
+        split_merged(F.col("raw.choices")),
+        drop_explaining(F.col("merged")),
+        repair_two_columns(F.col("listed")),
+        once(last_real(F.col("repaired")), normalize_choices),
+        join_broken_units(strip_explanation(stem)),
+        strip_explanation(sub(polish_stem(F.col("stem")), [(r"(?i)\?\s+[\d+.\s\-/%hfpmmdlU]+\s*\z", "?")])),
+        table,
+        F.when(F.col("table"), expand_table(F.col("choices"), F.col("prepared"))).otherwise(F.col("choices")),
+        F.when(F.col("table"), trim(sub(F.col("stem"), [TABLE_END]))).otherwise(F.col("stem")),
+        release(F.col("stem")),
+        retext(F.col("choices"), release),
+    )
+
+
+def recovered(pages: DataFrame) -> DataFrame:
+    """pages (cleaned, item) with stem and choices: choices may stand before or after the vignette, laboratory values on
+    choices go back to the stem's block, and the block is written as lines of cells. Steps are columns of their own, so none
+    is computed twice."""
+    prepared, before, behind, after, own, ahead, raw, merged, listed, repaired, tidied, stem, polished, table, choices, cut, freed_stem, freed_choices = _layout_steps()
+    out = pages.withColumn("prepared", prepared).withColumns({"before": before, "after": behind}).withColumn("after", after)
+    out = out.withColumns({"own": own, "ahead": ahead}).withColumn("raw", raw)
+    out = out.withColumn("merged", merged).withColumn("listed", listed).withColumn("repaired", repaired).withColumn("tidied", tidied)
+    out = handed_over(out)
+    out = format_labs(settled(out.withColumn("stem", stem), "stem"), "stem", "extra").withColumn("stem", polished)
+    out = settled(out.withColumn("table", table), "stem", "table").withColumns({"choices": choices, "stem": cut})
+    return out.select(*pages.columns, freed_stem.alias("stem"), freed_choices.alias("choices"))
 
 
 def _read(pages: DataFrame, footer: bool) -> DataFrame:

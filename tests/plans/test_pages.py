@@ -239,12 +239,88 @@ def test_laboratory_pairs(spark):
     assert paired(spark, "Protein", "Total", "Albumin", "7 g/dL", "4 g/dL") == ["Protein", "Total\t7 g/dL", "Albumin\t4 g/dL"]
 
 
+def formatted(spark, *stems):
+    rows = spark.createDataFrame(list(enumerate(stems)), "k int, stem string")
+    return [r.stem for r in B.format_labs(rows).orderBy("k").collect()]
+
+
+BLOCKS = [
+    # stacked, and several results on the line of the question
+    ("Laboratory studies show:\nHemoglobin\n15.1 g/dL\nSerum\nAlbumin\n4 g/dL\nAST 70 U/L ALT 41 U/L Ferritin 52 ng/mL " + ASKS, ["Hemoglobin\t15.1 g/dL", "Serum", "Albumin\t4 g/dL", "AST\t70 U/L", "ALT\t41 U/L", "Ferritin\t52 ng/mL"]),
+    # broken spellings, names above a line of values
+    ("Serum studies show:\nK•I HCO,-\nUrea nitrogen\nGlucose\n3.3 mEq/L 26, mEq/L 18 mg/dL 95 mg/dL\n" + ASKS, ["K+\t3.3 mEq/L", "HCO3-\t26 mEq/L", "Urea nitrogen\t18 mg/dL", "Glucose\t95 mg/dL"]),
+    # a percentage with a range is no volume
+    ("Laboratory studies show:\nHematocrit\n31%\nMean corpuscular volume\nSerum\nFerritin\n16% (N=11.5-14.5) 40 ng/mL\n" + ASKS, ["Hematocrit\t31%", "Mean corpuscular volume", "Serum", "Ferritin\t40 ng/mL"]),
+    ("Urinalysis shows:\nSpecific gravity 1.020 Blood 3+ Protein trace RBC 2/hpf Nitrites negative\n" + ASKS, ["Specific gravity\t1.020", "Blood\t3+", "Protein\ttrace", "RBC\t2/hpf", "Nitrites\tnegative"]),
+    ("Hemoglobin electrophoresis shows:\nHemoglobin A 40% (N=95%-98%)\nHemoglobin S 55% (N=0%)\n" + ASKS, ["Hemoglobin A\t40% (N=95%-98%)", "Hemoglobin S\t55% (N=0%)"]),
+    # values behind the question
+    ("Serum studies show:\nNa+\nCl-\nGlucose\n" + ASKS + "\n139 mEq/L\n99 mEq/L\n700 mg/dL", ["Na+\t139 mEq/L", "Cl-\t99 mEq/L", "Glucose\t700 mg/dL"]),
+    # prose behind the results stays
+    ("Laboratory studies show:\nHemoglobin\nNa+\nUrine protein\n6 g/dL\n141 mEq/L\n2+\nAn x-ray of the chest shows a mass.\nIt has grown.\n" + ASKS, ["Hemoglobin\t6 g/dL", "Na+\t141 mEq/L", "Urine protein\t2+", "An x-ray of the chest shows a mass. It has grown."]),
+    ("Laboratory studies show:\nUrea nitrogen (mg/dl )\nUrine\nSpecific gravity\nCasts\nOn Admission\n38\n1.028\nNone\nNow\n54\n1.011\ncoarse granular\n" + ASKS,
+     ["\tOn Admission\tNow", "Urea nitrogen\t38\t54", "Urine", "Specific gravity\t1.028\t1.011", "Casts\tNone\tcoarse granular"]),
+    ("Arterial blood gas analysis on an FiO2 of 60% and more shows:\n7.41\n39 mm Hg\n61 mm Hg\n" + ASKS, ["pH\t7.41", "Pco2\t39 mm Hg", "Po2\t61 mm Hg"]),
+    ("Laboratory studies show:\nMean corpuscular volume101 µm3\nc 1-\n104 mEq/L\n" + ASKS, ["Mean corpuscular volume\t101 µm³", "Cl-\t104 mEq/L"]),
+    # a line that only ends in "shows:" opens a block before a result, not before prose
+    ("The second test shows:\nHematocrit\n41%\n" + ASKS, ["Hematocrit\t41%"]),
+]
+
+
+@pytest.fixture(scope="module")
+def blocks(spark):
+    return formatted(spark, *[f"{VIGNETTE}\n{text}" for text, _ in BLOCKS])
+
+
+@pytest.mark.parametrize("k", range(len(BLOCKS)))
+def test_laboratory_blocks(blocks, k):
+    text, lines = BLOCKS[k]
+    head = " ".join(text.split("shows:")[0].split("show:")[0].split()) + (" shows:" if "shows:" in text else " show:")
+    assert blocks[k] == f"{VIGNETTE}\n{head}\n" + "\n".join(lines) + f"\n\n{ASKS}"
+
+
+def test_series_and_stems_without_a_block(spark):
+    both = "Number of Months Ago 9 6 3 Blood Pressure (mm Hg) 130/80 140/70 150/90"
+    rows = "Months ago 1 2 3\nBlood pressure 120/80 130/85 140/90 150/95\nHe feels well."
+    got = formatted(spark, both, rows, "The examination shows:\nHematocrit\n40%", "Months ago he fell 3 times.", None, "")
+    assert got[0] == "Number of Months Ago\t9\t6\t3\nBlood Pressure (mm Hg)\t130/80\t140/70\t150/90"
+    assert got[1] == "Months ago\t1\t2\t3\nBlood pressure\t120/80\t130/85\t140/90\t150/95\nHe feels well."
+    assert got[2:] == ["The examination shows:\nHematocrit\n40%", "Months ago he fell 3 times.", None, ""]
+
+
+def test_results_on_choices_go_back_to_the_block(spark):
+    def page(block, tail, n):
+        listed_ = "\n".join(f"O {c}) {t}" for c, t in zip("ABCDE", FIVE))
+        return f"Exam Section: Item {n} of 50\n{n}. {VIGNETTE}\n{block}\n{ASKS}\n{listed_}{tail}\nPrevious\nNext"
+
+    texts = [
+        page("Laboratory studies show:\nHemoglobin\nLeukocyte count\nK+", " 5 g/dL 9000/mm3 4 mEq/L", 1),
+        page("Laboratory studies show:\nHematocrit\nLeukocyte count", " 40% 9000/mm3", 2),
+        page("Laboratory studies show:\nUrine protein", "", 3).replace(FIVE[1], "Infusion of 0.9%"),
+    ]
+    got = PG.parse_question_pages(pages(spark, *texts)).orderBy("item").collect()
+    block = lambda *lines: f"{VIGNETTE}\nLaboratory studies show:\n" + "\n".join(lines) + f"\n\n{ASKS}"
+    assert got[0].stem == block("Hemoglobin\t5 g/dL", "Leukocyte count\t9000/mm³", "K+\t4 mEq/L") and listed(got[0].choices) == list(zip("ABCDE", FIVE))
+    assert got[1].stem == block("Hematocrit\t40%", "Leukocyte count\t9000/mm³") and listed(got[1].choices) == list(zip("ABCDE", FIVE))
+    assert got[2].stem == block("Urine protein") and got[2].choices[1].text == "Infusion of 0.9%"
+
+
+def test_unit_families_of_percentages(spark):
+    assert value(spark, L.value_family, "50% mixed", "30% (N=25% to 40%, male)", "mm 5%", "40%", "12 mg/dL") == ["percent", "percent", None, "percent", "chem"]
+
+
+def test_typed_rows_of_segments(spark):
+    stem = "He rests.\n\tOn Admission\tNow\nSerum\nGlucose\t38\t54\n140 mEq/L " + ASKS
+    rows = B.stem_segments(spark.createDataFrame([(1, stem)], "item_id int, stem string")).orderBy("seg").collect()
+    assert [r.kind for r in rows] == ["text", "labs", "text"] and rows[0].rows is None
+    assert [(x.kind, x["name"], x.cells) for x in rows[1].rows] == [("header", "", ["On Admission", "Now"]), ("section", "Serum", []), ("row", "Glucose", ["38", "54"]), ("row", "", ["140 mEq/L"])]
+
+
 def test_laboratory_lines(spark):
     assert value(spark, lambda t: L.line_class(L.normalize_token(t)), "Serum", "Na*", "140 mEq/L", "Leukocyte count", "An x-ray shows", "He walks.") == ["section", "name", "value", "name", "stop", "other"]
     assert value(spark, L.normalize_token, "HCO 3 -", "4 million/mm 3", None) == ["HCO3-", "4 million/mm³", None]
     tokens = value(spark, B.lab_tokens, "AST 68 U/L ALT 44 U/L Which of the following is next?")
     assert tokens == ["AST", "68 U/L", "ALT", "44 U/L"]
-    stem = value(spark, B.format_labs, f"{VIGNETTE}\nLaboratory studies show:\nHematocrit 40%\nFerritin 12 ng/mL\n{ASKS}", VIGNETTE)
+    stem = formatted(spark, f"{VIGNETTE}\nLaboratory studies show:\nHematocrit 40%\nFerritin 12 ng/mL\n{ASKS}", VIGNETTE)
     assert stem == [f"{VIGNETTE}\nLaboratory studies show:\nHematocrit\t40%\nFerritin\t12 ng/mL\n\n{ASKS}", VIGNETTE]
 
 
