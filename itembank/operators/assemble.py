@@ -11,6 +11,7 @@ from ..functions.predicates import choice_quality, explanation_leak, filled, nee
 from ..functions.choices import pad_choices
 from ..functions.rules import has, once, sub
 from ..sources.io import checkpointed
+from .carry import CHUNK, carry_last, in_chunks
 from ..functions.text import content_words, item_number, source_stem, strip_explanation, vignette_fingerprint
 
 # Messages that users see.
@@ -48,13 +49,14 @@ def coalesce_questions(drafts: DataFrame) -> DataFrame:
 
 def attach_continuations(pages: DataFrame, starts: Column) -> DataFrame:
     """pages with `anchor`: the last page at or before this one, in its set, for which starts holds; null before the first."""
-    window = Window.partitionBy("set_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("anchor", F.last(F.when(starts, F.col("page_number")), ignorenulls=True).over(window))
+    chunked = in_chunks(pages, ["set_id"], ["page_number"])
+    return carry_last(chunked, ["set_id"], ["page_number"], anchor=F.when(starts, F.col("page_number"))).drop(CHUNK)
 
 
 def fold_answer_pages(drafts: DataFrame) -> DataFrame:
     """Answer drafts to one row per answer: pages of an item, pages that continue it, and orphans (item 0), which begin at
-    a keyed page of six words or more, or stand before any other."""
+    a keyed page of six words or more, or stand before any other. Choices and flags are those of pages with the item's number
+    and of the page that opens the answer; a page that continues it adds its text, its place and, where none is known, its key."""
     telling = F.col("key").isNotNull() & (F.size(F.split(vignette_fingerprint(F.col("stem")), " ")) >= 6)
     own = attach_continuations(drafts, (F.col("item") > 0) | telling)
     at = own.select("set_id", F.col("page_number").alias("anchor"), F.col("item").alias("anchor_item")).where(F.col("anchor_item") > 0)
@@ -63,11 +65,12 @@ def fold_answer_pages(drafts: DataFrame) -> DataFrame:
     rows = rows.withColumn("group", F.when(F.col("item") > 0, -F.col("item")).otherwise(F.coalesce("anchor", "page_number")))
     page = F.col("page_number")
     texts = F.transform(F.filter(F.sort_array(F.collect_list(F.struct(page.alias("p"), F.col("explanation").alias("e")))), lambda x: x["e"] != ""), lambda x: x["e"])
-    best = F.min(F.when(F.col("own") | (page == F.col("group")) | (F.col("item") == 0), F.struct((-choice_quality(F.col("choices"))).alias("a"), page.alias("b"), F.col("choices").alias("v"))))["v"]
+    opens = F.col("own") | (page == F.col("group"))
+    best = F.min(F.when(opens, F.struct((-choice_quality(F.col("choices"))).alias("a"), page.alias("b"), F.col("choices").alias("v"))))["v"]
     out = rows.groupBy("set_id", "item", "group").agg(
         F.min_by("stem", "page_number").alias("stem"), best.alias("choices"), first_by(F.col("key"), [page], F.col("key").isNotNull()).alias("key"), F.array_join(texts, "\n\n").alias("explanation"),
         F.min_by("warnings", "page_number").alias("warnings"), F.array_sort(F.collect_list("page_number")).alias("answer_pages"),
-        F.bool_or(F.col("own") & F.col("needs_figure")).alias("needs_figure"), F.bool_or(F.col("own") & F.col("needs_table")).alias("needs_table"),
+        F.bool_or(opens & F.col("needs_figure")).alias("needs_figure"), F.bool_or(opens & F.col("needs_table")).alias("needs_table"),
     )
     return out.drop("group")
 

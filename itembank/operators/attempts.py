@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import matrix_status, review_status
 from ..functions.rules import sub, trim
+from .carry import CHUNK, carry_last, carry_next, carry_sum, in_chunks
 
 ORDER = ("ts", "event_id")
 RUNNING = ("exam", "examReview", "endConfirm")
@@ -31,10 +32,11 @@ def fold_attempts(events: DataFrame) -> DataFrame:
     return state.join(struck, ["session_id", "item_id"], "left").withColumn("struck", F.coalesce("struck", F.array().cast("array<string>")))
 
 
-def with_phase(events: DataFrame, start: str = "exam") -> DataFrame:
-    """events with the phase that the last phase event of the session before them has set."""
-    window = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("phase", F.coalesce(F.last(F.when(F.col("action") == "phase", F.col("label")), ignorenulls=True).over(window), F.lit(start)))
+def with_phase(events: DataFrame, start: str = "exam", chunks: int | None = None) -> DataFrame:
+    """events with the phase that the last phase event of the session before them has set. A session may be of any size."""
+    said = F.when(F.col("action") == "phase", F.col("label"))
+    carried = carry_last(in_chunks(events, ["session_id"], [*ORDER], chunks), ["session_id"], [*ORDER], include=False, phase=said)
+    return carried.withColumn("phase", F.coalesce("phase", F.lit(start))).drop(CHUNK)
 
 
 def gated_events(events: DataFrame) -> DataFrame:
@@ -44,19 +46,16 @@ def gated_events(events: DataFrame) -> DataFrame:
     return with_phase(events).where(counts)
 
 
-def clock_cutoff(events: DataFrame, budget: DataFrame, start: str = "exam") -> DataFrame:
+def clock_cutoff(events: DataFrame, budget: DataFrame, start: str = "exam", chunks: int | None = None) -> DataFrame:
     """session_id, used_seconds, cutoff: when the time that ran (outside pauses, in running phases) reached the budget; null
-    if it never did. budget: session_id, seconds. Pauses are events `pause` and `resume`."""
-    window = Window.partitionBy("session_id").orderBy(*ORDER)
-    past = window.rowsBetween(Window.unboundedPreceding, 0)
-    state = {
-        "phase": F.coalesce(F.last(F.when(F.col("action") == "phase", F.col("label")), ignorenulls=True).over(past), F.lit(start)),
-        "paused": F.coalesce(F.last(F.when(F.col("action").isin("pause", "resume"), F.col("action") == "pause"), ignorenulls=True).over(past), F.lit(False)),
-        "gap": F.unix_micros(F.lead("ts").over(window)) - F.unix_micros("ts"),
-    }
-    runs = F.when(F.col("phase").isin(*RUNNING) & ~F.col("paused"), F.coalesce("gap", F.lit(0))).otherwise(0)
-    rows = events.withColumns(state).withColumn("runs", runs)
-    rows = rows.withColumn("before", F.sum("runs").over(past) - F.col("runs")).join(budget, "session_id")
+    if it never did. budget: session_id, seconds. Pauses are events `pause` and `resume`. A session may be of any size."""
+    by = (["session_id"], [*ORDER])
+    action = F.col("action")
+    rows = carry_last(in_chunks(events, *by, chunks), *by, phase=F.when(action == "phase", F.col("label")), paused=F.when(action.isin("pause", "resume"), action == "pause"))
+    rows = carry_next(rows, *by, next_us=F.unix_micros("ts"))
+    runs = F.when(F.coalesce("phase", F.lit(start)).isin(*RUNNING) & ~F.coalesce("paused", F.lit(False)), F.coalesce(F.col("next_us") - F.unix_micros("ts"), F.lit(0))).otherwise(0)
+    rows = carry_sum(rows.withColumn("runs", runs), *by, before=F.col("runs"))
+    rows = rows.withColumn("before", F.col("before") - F.col("runs")).join(budget, "session_id")
     limit = F.col("seconds").cast("long") * 1_000_000
     crossing = F.when((F.col("before") < limit) & (F.col("before") + F.col("runs") >= limit), F.timestamp_micros(F.unix_micros("ts") + limit - F.col("before")))
     return rows.groupBy("session_id").agg((F.least(F.sum("runs"), F.max("seconds").cast("long") * 1_000_000) / 1e6).alias("used_seconds"), F.min(crossing).alias("cutoff"))
@@ -124,6 +123,17 @@ def highlights_by_segment(highlights: DataFrame, segments: DataFrame) -> DataFra
     return both.select("item_id", "seg", "h_id", F.greatest(F.lit(0), begin).alias("local_start"), F.least(F.col("seg_length"), end).alias("local_end"))
 
 
+def highlights_from_segment(highlights: DataFrame, edits: DataFrame) -> DataFrame:
+    """The marks of stems after a segment was edited. highlights: item_id, start, end over whole stems. edits: item_id,
+    seg_start, seg_length, spans (array of struct(start, end), the segment's marks in its own offsets). Marks that touch an
+    edited segment give way to its spans, moved to offsets of the stem; other marks and items stay. Segments do not overlap."""
+    touched = edits.select("item_id", "seg_start", "seg_length")
+    meets = (highlights["item_id"] == touched["item_id"]) & (F.col("end") > F.col("seg_start")) & (F.col("start") < F.col("seg_start") + F.col("seg_length"))
+    others = highlights.join(touched, meets, "left_anti").select("item_id", "start", "end")
+    moved = edits.select("item_id", "seg_start", F.inline("spans")).select("item_id", (F.col("start") + F.col("seg_start")).alias("start"), (F.col("end") + F.col("seg_start")).alias("end"))
+    return others.unionByName(moved)
+
+
 def highlight_pieces(highlights: DataFrame, texts: DataFrame, merge: bool = False) -> DataFrame:
     """item_id, piece_start, piece_end, marked. Spans are clipped to the text; what no span before a piece reached is
     unmarked. Overlapping spans each give a piece, or one for all with merge."""

@@ -27,6 +27,7 @@ DRAFT = (
     "set_id string, item int, stem string, choices array<struct<label:string,text:string>>, key string, explanation string, warnings array<string>, question_page int, "
     "needs_figure boolean, needs_table boolean"
 )
+ANSWER_DRAFT = DRAFT.replace("question_page", "page_number")
 #: Units of results that take a percentage back from the last choice.
 HANDS_BACK = r"(?i)/mm³|/hpf|mEq/L|mg/dL"
 #: A stem of a table ends at its question mark, before the head of the table.

@@ -36,9 +36,19 @@ def moment(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+#: Ninety seconds an item; sessions have budgets of different sizes, which many of them exceed.
+_BUDGET = "90 * (1000 + 200 * (session_id % 50))"
 _PAST = "PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND "
+#: cut: when the clock of a session ran out; log: events, with the end of the exam put in there.
+_CLOCK = f"""e AS (SELECT *, coalesce(last_value(CASE WHEN action = 'phase' THEN label END IGNORE NULLS) OVER ({_PAST} CURRENT ROW), 'exam') AS phase,
+   coalesce(last_value(CASE WHEN action IN ('pause', 'resume') THEN action = 'pause' END IGNORE NULLS) OVER ({_PAST} CURRENT ROW), false) AS paused,
+   epoch_us(lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap, 1000000 * {_BUDGET} AS most FROM attempts),
+ u AS (SELECT *, CASE WHEN phase IN ('exam', 'examReview', 'endConfirm') AND NOT paused THEN coalesce(gap, 0) ELSE 0 END AS runs FROM e),
+ b AS (SELECT *, sum(runs) OVER ({_PAST} CURRENT ROW) - runs AS before FROM u),
+ cut AS (SELECT session_id, least(sum(runs), max(most))::DOUBLE / 1000000 AS used_seconds, make_timestamp(CAST(min(CASE WHEN before < most AND before + runs >= most THEN epoch_us(ts) + most - before END) AS BIGINT)) AS cutoff FROM b GROUP BY session_id),
+ log AS (SELECT event_id, session_id, item_id, ts, action, label, text FROM attempts UNION ALL SELECT -1, session_id, NULL, cutoff, 'phase', 'review', NULL FROM cut WHERE cutoff IS NOT NULL)"""
 #: a: events with the phase before each; g: those that count; state, struck: the fold over g.
-_GATED = duck("attempts", "bank") + f""", a AS (SELECT *, coalesce(last_value(CASE WHEN action = 'phase' THEN label END IGNORE NULLS) OVER ({_PAST} 1 PRECEDING), 'exam') AS phase FROM attempts),
+_GATED = duck("attempts", "bank") + f""", {_CLOCK}, a AS (SELECT *, coalesce(last_value(CASE WHEN action = 'phase' THEN label END IGNORE NULLS) OVER ({_PAST} 1 PRECEDING), 'exam') AS phase FROM log),
  g AS (SELECT * FROM a WHERE CASE WHEN action = 'select' THEN phase = 'exam' WHEN action IN ('flag', 'strike') THEN phase IN ('exam', 'review') ELSE true END),
  state AS (SELECT session_id, item_id, last(label ORDER BY ts, event_id) FILTER (WHERE action = 'select') AS answer, count(*) FILTER (WHERE action = 'flag') % 2 = 1 AS flagged,
    last(text ORDER BY ts, event_id) FILTER (WHERE action = 'note') AS notes FROM g WHERE item_id IS NOT NULL AND action IN ('select', 'flag', 'strike', 'note') GROUP BY ALL),
@@ -51,31 +61,30 @@ _GATED = duck("attempts", "bank") + f""", a AS (SELECT *, coalesce(last_value(CA
    LEFT JOIN struck k ON k.session_id = b.set_id AND k.item_id = b.item_id) """
 
 
-@query(_GATED + " SELECT event_id, session_id, action, phase FROM g")
-def gated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.gated_events(events(spark, sf_dir)).select("event_id", "session_id", "action", "phase")
+def budgets(log: DataFrame) -> DataFrame:
+    return log.select("session_id").distinct().withColumn("seconds", F.expr(_BUDGET))
 
 
-@query(_GATED + " SELECT session_id, item_id, answer, flagged, coalesce(struck, '') AS struck, notes FROM state LEFT JOIN struck USING (session_id, item_id)")
-def fold_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.fold_attempts(A.gated_events(events(spark, sf_dir))).select("session_id", "item_id", "answer", "flagged", F.array_join("struck", ",").alias("struck"), "notes")
-
-
-#: Ninety seconds an item; sessions have budgets of different sizes, which many of them exceed.
-_BUDGET = "90 * (1000 + 200 * (session_id % 50))"
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that count: those of an exam up to its end by phase or by clock, and those allowed after it."""
+    log = events(spark, sf_dir)
+    return A.gated_events(A.ended_by_clock(log, A.clock_cutoff(log, budgets(log))))
 
 
-@query(f"""{duck("attempts")}, e AS (SELECT *, coalesce(last_value(CASE WHEN action = 'phase' THEN label END IGNORE NULLS) OVER ({_PAST} CURRENT ROW), 'exam') AS phase,
-   coalesce(last_value(CASE WHEN action IN ('pause', 'resume') THEN action = 'pause' END IGNORE NULLS) OVER ({_PAST} CURRENT ROW), false) AS paused,
-   epoch_us(lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap, 1000000 * {_BUDGET} AS most FROM attempts),
- u AS (SELECT *, CASE WHEN phase IN ('exam', 'examReview', 'endConfirm') AND NOT paused THEN coalesce(gap, 0) ELSE 0 END AS runs FROM e),
- b AS (SELECT *, sum(runs) OVER ({_PAST} CURRENT ROW) - runs AS before FROM u)
- SELECT session_id, least(sum(runs), max(most))::DOUBLE / 1000000 AS used_seconds, strftime(make_timestamp(CAST(min(CASE WHEN before < most AND before + runs >= most THEN epoch_us(ts) + most - before END) AS BIGINT)), '%Y-%m-%d %H:%M:%S.%f') AS cutoff
- FROM b GROUP BY session_id""")
+@query(f"{duck('attempts')}, {_CLOCK} SELECT session_id, used_seconds, strftime(cutoff, '%Y-%m-%d %H:%M:%S.%f') AS cutoff FROM cut")
 def exam_clock_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = events(spark, sf_dir)
-    budget = log.select("session_id").distinct().withColumn("seconds", F.expr(_BUDGET))
-    return A.clock_cutoff(log, budget).select("session_id", "used_seconds", moment(F.col("cutoff")).alias("cutoff"))
+    return A.clock_cutoff(log, budgets(log)).select("session_id", "used_seconds", moment(F.col("cutoff")).alias("cutoff"))
+
+
+@query(_GATED + " SELECT event_id, session_id, action, phase FROM g")
+def gated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(spark, sf_dir).select("event_id", "session_id", "action", "phase")
+
+
+@query(_GATED + " SELECT session_id, item_id, answer, flagged, coalesce(struck, '') AS struck, notes FROM state LEFT JOIN struck USING (session_id, item_id)")
+def fold_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.fold_attempts(counted(spark, sf_dir)).select("session_id", "item_id", "answer", "flagged", F.array_join("struck", ",").alias("struck"), "notes")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +96,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item of each session with its state, from the events that count."""
     log = events(spark, sf_dir)
     sessions = log.select("session_id", F.col("session_id").alias("set_id")).distinct()
-    return A.attempt_rows(sessions, items(spark, sf_dir), A.fold_attempts(A.gated_events(log)))
+    return A.attempt_rows(sessions, items(spark, sf_dir), A.fold_attempts(counted(spark, sf_dir)))
 
 
 @query(_GATED + " SELECT session_id, item_id, answer, key, review_status FROM r")
@@ -155,6 +164,15 @@ def highlights_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.highlights_by_segment(derived(spark, sf_dir, "spans").withColumnRenamed("stop", "end"), derived(spark, sf_dir, "segments"))
 
 
+@query(f"""{duck("spans", "segments")}, f AS (SELECT item_id, seg_start, seg_length, greatest(seg_start, start) AS s, least(seg_start + seg_length, stop) AS e FROM spans JOIN segments USING (item_id) WHERE stop > seg_start AND start < seg_start + seg_length)
+ SELECT item_id, s AS start, e AS stop FROM f UNION ALL SELECT item_id, start, stop FROM spans h WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.item_id = h.item_id AND h.stop > f.seg_start AND h.start < f.seg_start + f.seg_length)""")
+def highlights_from_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks moved to their segments and, unchanged, back to their stems: what lies outside all marked segments stays."""
+    marks, segments = derived(spark, sf_dir, "spans").withColumnRenamed("stop", "end"), derived(spark, sf_dir, "segments")
+    local = A.highlights_by_segment(marks, segments).groupBy("item_id", "seg").agg(F.collect_list(F.struct(F.col("local_start").alias("start"), F.col("local_end").alias("end"))).alias("spans"))
+    return A.highlights_from_segment(marks, local.join(segments, ["item_id", "seg"])).withColumnRenamed("end", "stop")
+
+
 _PIECES = f"""{duck("spans", "lengths")}, s AS (SELECT item_id, h_id, start, length, greatest(0, least(length, start)) AS s, greatest(greatest(0, least(length, start)), least(length, stop)) AS e FROM spans JOIN lengths USING (item_id)),
  c AS (SELECT *, coalesce(max(e) OVER (PARTITION BY item_id ORDER BY start, h_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM s)"""
 
@@ -197,7 +215,15 @@ def stream_attempt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "session_id", "selects", "flags", "strikes", "notes")
 
 
-@query()
+_MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM attempts)"
+#: As the batch rule, but the time behind a session's last event runs on, up to where the watermark stands in the end.
+_RUNNING_ON = _CLOCK.replace(_BUDGET, "CAST(500000 AS BIGINT)").replace("epoch_us(lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id)) - epoch_us(ts)", f"greatest(epoch_us(coalesce(lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id), {_MARK})) - epoch_us(ts), 0)")
+
+
+@query(f"""{duck("attempts")}, {_RUNNING_ON}, rv AS (SELECT session_id, min(ts) AS review FROM attempts WHERE action = 'phase' AND label = 'review' GROUP BY session_id),
+ p AS (SELECT b.session_id, max(before) AS used FROM b JOIN rv ON rv.session_id = b.session_id AND rv.review = b.ts WHERE action = 'phase' AND label = 'review' GROUP BY b.session_id),
+ k AS (SELECT cut.session_id, used, review, coalesce(cutoff < {_MARK} AND (review IS NULL OR cutoff <= review), false) AS clock FROM cut LEFT JOIN rv ON rv.session_id = cut.session_id LEFT JOIN p ON p.session_id = cut.session_id)
+ SELECT session_id, CASE WHEN clock THEN 'clock' ELSE 'phase' END AS ended_by, CASE WHEN clock THEN 500000.0::DOUBLE ELSE used::DOUBLE / 1000000 END AS used_seconds FROM k WHERE clock OR review < {_MARK}""")
 def stream_exam_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions whose clock ran out, or that entered review, while events arrived."""
     return drained(jobs.session_clock(event_stream(spark, sf_dir), 500_000), "clocks")

@@ -13,7 +13,7 @@ from ..operators import qc, reread
 from ..sources import io
 from ..sources.derive import derived
 from ..streaming import jobs
-from .bank import _ISSUES, PARSED_SQL, parsed_columns, q_pages, spoilt
+from .bank import _ISSUES, PARSED_SQL, a_pages, parsed_columns, q_pages, spoilt
 from .texts import _LISTED, BANK, PAGES_SQL, Query, duck_glyphs, listed, page_choices, pages
 
 QUERIES: dict[str, Query] = {}
@@ -135,10 +135,22 @@ def refine_with_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- page arrival
 @query(PARSED_SQL)
 def stream_parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question pages arrive as files; the drafts of each batch are added to a table."""
+    """Question pages arrive as files; the drafts of each batch are kept below its number."""
     page = q_pages(spark, sf_dir)
     arriving, drafts = io.fresh_dir(spark, "arriving_pages"), io.fresh_dir(spark, "drafts")
     page.write.parquet(arriving)
     stream = spark.readStream.schema(page.schema).option("maxFilesPerTrigger", 64).parquet(arriving)
-    jobs.parse_arriving_pages(stream, lambda batch, number: batch.write.mode("append").parquet(drafts), f"{drafts}-state").awaitTermination()
-    return parsed_columns(spark.read.schema(PG.DRAFT).parquet(drafts))
+    jobs.parse_arriving_pages(stream, lambda batch, number: batch.write.mode("overwrite").parquet(jobs.batch_dir(drafts, number)), f"{drafts}-state").awaitTermination()
+    return parsed_columns(spark.read.schema(f"{PG.DRAFT}, batch int").parquet(drafts))
+
+
+@query()
+def stream_merge_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and answer pages arrive as files in two batches; sets are merged as they are touched. Equal to merge_q_and_a."""
+    both = q_pages(spark, sf_dir).withColumn("kind", F.lit("q")).unionByName(a_pages(spark, sf_dir).withColumn("kind", F.lit("a")))
+    arriving, path = io.fresh_dir(spark, "arriving_pages"), io.fresh_dir(spark, "arriving_bank")
+    both.repartition(8, "set_id", "kind", "page_number").write.parquet(arriving)
+    stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 4).parquet(arriving)
+    jobs.merge_arriving_pages(stream, path, f"{path}-state").awaitTermination()
+    out = jobs.current_bank(spark, path)
+    return out.select("set_id", "item", "stem", listed(F.col("choices")).alias("choices"), "key", "explanation", F.array_join("warnings", " ").alias("warnings"))
