@@ -4,6 +4,9 @@ Keys are (set_id, item): an item number alone repeats in every set. Rows without
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,11 +146,72 @@ def scored_pairs(left: DataFrame, right: DataFrame, least: float = ACCEPTED) ->
     return both.withColumn("score", fingerprint_score(F.col("lp"), F.col("rp"))).where(F.col("score") >= least).select("set_id", "l_id", "r_id", "score")
 
 
-def greedy_match(scored: DataFrame, least: float = ACCEPTED) -> DataFrame:
+def components(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(pairs(set_id, l_id, r_id) with `component`, rounds used). Pairs that share a row on either side, directly or by others,
+    have one component: the least of its nodes. By large and small stars in turn, which halve the depth of the trees, so a
+    chain of n pairs takes some log(n) rounds."""
+    node = lambda c, side: (F.col(c).cast("long") * 2 + side)
+    edges = pairs.select("set_id", node("l_id", 0).alias("u"), node("r_id", 1).alias("v")).distinct()
+
+    def stars(edges: DataFrame, large: bool) -> DataFrame:
+        both = edges.select("set_id", "u", "v").unionByName(edges.select("set_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        seen = both if large else both.where("v <= u")
+        least = seen.groupBy("set_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        moved = seen.join(least, ["set_id", "u"])
+        if large:
+            return moved.where("v > u").select("set_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        own = least.select("set_id", "u", F.col("m").alias("v"))
+        return moved.select("set_id", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).where("u <> v").distinct()
+
+    state, rounds = None, 0
+    while True:
+        edges = checkpointed(stars(stars(edges, large=True), large=False))
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("set_id", "u", "v").cast("decimal(38,0)"))).first()
+        rounds += 1
+        if now == state:
+            break
+        state = now
+    root = edges.select("set_id", F.col("u").alias("l_node"), F.col("v").alias("root"))
+    rows = pairs.withColumn("l_node", node("l_id", 0)).join(root, ["set_id", "l_node"], "left")
+    return rows.withColumn("component", F.coalesce("root", "l_node")).drop("root", "l_node"), rounds
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by component, left row, falling score and right row: each left row takes its first right row that is free.
+    What is held is the right rows taken in the component that is read."""
+    where, left, done, taken = None, None, False, set()
+    for frame in frames:
+        keep = []
+        for set_id, component, l_id, r_id in zip(frame["set_id"], frame["component"], frame["l_id"], frame["r_id"], strict=True):
+            if (set_id, component) != where:
+                where, left, taken = (set_id, component), None, set()
+            if l_id != left:
+                left, done = l_id, False
+            wins = not done and r_id not in taken
+            if wins:
+                done = True
+                taken.add(r_id)
+            keep.append(wins)
+        yield frame[keep].drop(columns="component")
+
+
+#: Pairs of a component that one task assigns in order; larger components are assigned in rounds of joins, with the same result.
+AT_ONCE = 200_000
+
+
+def greedy_match(scored: DataFrame, least: float = ACCEPTED, at_once: int = AT_ONCE) -> DataFrame:
     """Left rows in order take their best right row (earliest on ties) that none before took, over the pairs that reach
-    `least`. In rounds: a left row whose best free right row no earlier open left row could take has it for good."""
-    open_ = checkpointed(scored.where(F.col("score") >= least).select("set_id", "l_id", "r_id", "score"))
-    taken = open_.limit(0)
+    `least`. Rows of different components do not meet, so components are assigned side by side, each in order in one task; a
+    component of more than at_once pairs goes in rounds: a left row whose best free right row no earlier open left row could
+    take has it for good."""
+    pairs = checkpointed(scored.where(F.col("score") >= least).select("set_id", "l_id", "r_id", "score"))
+    rows = checkpointed(components(pairs)[0])
+    size = rows.groupBy("set_id", "component").agg(F.count("*").alias("n"))
+    large = size.where(F.col("n") > at_once).select("set_id", "component")
+    small = rows.join(size.where(F.col("n") <= at_once).select("set_id", "component"), ["set_id", "component"], "left_semi")
+    dealt = small.repartition("set_id", "component").sortWithinPartitions("set_id", "component", "l_id", F.desc("score"), "r_id")
+    taken = dealt.select("set_id", "component", "l_id", "r_id", "score").mapInPandas(_in_order, pairs.schema)
+    open_ = checkpointed(rows.join(large, ["set_id", "component"], "left_semi").select(*pairs.columns))
     while not open_.isEmpty():
         first = open_.groupBy("set_id", "r_id").agg(F.min("l_id").alias("first"))
         best = open_.groupBy("set_id", "l_id").agg(F.min(F.struct((-F.col("score")).alias("cost"), "r_id", "score")).alias("best"))
@@ -240,9 +304,14 @@ def number_questions(items: DataFrame) -> DataFrame:
     return items.withColumn("inside", inside).join(before, "set_id").withColumn("question_number", (F.col("before") + F.col("inside")).cast("long")).drop("inside", "before")
 
 
-def import_sets(question_pages: DataFrame, answer_pages: DataFrame, parse_q, parse_a) -> tuple[DataFrame, DataFrame]:
-    """(items, answer entries) of all sets. Tables are kept between the steps, whose expressions are long."""
+def import_sets(question_pages: DataFrame, answer_pages: DataFrame, parse_q: Callable, parse_a: Callable, reread: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, answer entries) of all sets: coalesced, merged, held against their source, refined by the second reading of
+    their pages where `reread` is given, and numbered over all sets. Tables are kept between the steps, whose expressions
+    are long."""
     questions = checkpointed(coalesce_questions(parse_q(question_pages)))
     answers = checkpointed(fold_answer_pages(parse_a(answer_pages)))
     merged = checkpointed(merge_sets(questions, answers))
-    return checkpointed(check_against_source(merged, question_pages)), answers
+    items = checkpointed(check_against_source(merged, question_pages))
+    if reread is not None:
+        items = checkpointed(reread(items))
+    return number_questions(items), answers

@@ -42,9 +42,17 @@ def src_pages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_page_extracts(spark, path)
 
 
-@query()
+@query("""SELECT 'set-' || lpad(CAST(g AS VARCHAR), 3, '0') AS folder, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size, true AS named
+ FROM (SELECT doc_id % 200 AS g, text FROM documents) d GROUP BY g""")
 def src_file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.read_file_meta(spark, sf_dir, "*.parquet").select("name", "size")
+    """Documents written as text files, 200 folders of them; the files are listed, not read: sizes by folder."""
+    path = io.fresh_dir(spark, "files")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    named = docs.select(F.concat(F.lit("set-"), F.lpad((F.col("doc_id") % 200).cast("string"), 3, "0")).alias("folder"), F.coalesce("text", F.lit("")).alias("value"))
+    named.write.partitionBy("folder").text(path)
+    files = io.read_file_meta(spark, f"{path}/*", "*.txt")
+    by = F.regexp_extract("path", r"folder=([^/]+)/", 1)
+    return files.groupBy(by.alias("folder")).agg(F.sum("size").alias("size"), F.bool_and(F.endswith(F.col("path"), F.col("name"))).alias("named"))
 
 
 @query("SELECT doc_id, text, source AS set_id FROM documents")

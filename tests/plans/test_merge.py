@@ -1,5 +1,7 @@
 """Questions and answers merged by number against SQL, by wording against brute force."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -53,3 +55,28 @@ def test_merge_by_wording(spark):
         want[item] = (right[best[1]][0], best[1]) if -best[0] >= A.ACCEPTED else (None, None)
         free.discard(best[1] if -best[0] >= A.ACCEPTED else None)
     assert got == want and sum(v[0] is not None for v in want.values()) >= 5
+
+
+def greedy(pairs):
+    taken, out = set(), set()
+    for left in sorted({(s, a) for s, a, _, _ in pairs}):
+        free = [(-score, b) for s, a, b, score in pairs if (s, a) == left and (s, b) not in taken]
+        if free:
+            cost, b = min(free)
+            taken.add((left[0], b))
+            out.add((*left, b, -cost))
+    return out
+
+
+def test_long_chains_of_claims(spark):
+    """Each left row prefers what the row before it takes: components need few rounds, and in them order decides."""
+    chain = [("s", k, r, 90.0 - 10 * (r == k)) for k in range(1, 301) for r in (k - 1, k)]
+    rng = random.Random(2)
+    mixed = [(s, a, b, float(rng.randint(40, 44))) for s in ("t", "u") for a in range(25) for b in rng.sample(range(30), 2)]
+    pairs = spark.createDataFrame(chain + mixed, "set_id string, l_id int, r_id int, score double")
+    grouped, rounds = A.components(pairs)
+    assert rounds <= 12 and grouped.where("set_id = 's'").select("component").distinct().count() == 1
+    assert {tuple(r) for r in A.greedy_match(pairs).collect()} == greedy(chain + mixed)
+    few = spark.createDataFrame(mixed, pairs.schema)
+    assert {tuple(r) for r in A.greedy_match(few, at_once=3).collect()} == greedy(mixed)
+    assert A.greedy_match(pairs.limit(0)).count() == 0
