@@ -333,7 +333,9 @@ def block_start(text: Column) -> Column:
 
     head = F.get(F.filter(F.arrays_zip(heads.alias("heads"), nexts.alias("nexts")), opens), 0)["heads"]
     generic = F.when(has(text, ANY_SHOWS), F.coalesce(F.position(head, text), F.lit(0))).otherwise(0)
-    return once(F.regexp_instr(text, F.lit(SHOWS)), lambda at: F.when(at > 0, at).otherwise(generic))
+    low = F.lower(text)
+    may = F.contains(text, F.lit(":")) & (F.contains(low, F.lit("show")) | F.contains(low, F.lit("studies")) | F.contains(low, F.lit("findings")))
+    return F.when(may, once(F.regexp_instr(text, F.lit(SHOWS)), lambda at: F.when(at > 0, at).otherwise(generic))).otherwise(0)
 
 
 def leftover_prose(lines: Column) -> Column:

@@ -67,9 +67,15 @@ def strip_diagram(text: Column) -> Column:
     return trim(sub(F.array_join(F.filter(F.split(text, "\n"), lambda l: ~is_diagram(l)), "\n"), BLANKS))
 
 
+def is_long(line: Column) -> Column:
+    """Longer than any laboratory name or section (56 characters once it is normalised), and not begun like a value; such a line
+    need not be normalised to be told from one."""
+    return (F.length(line) > 150) & ~has(line, r"(?i)^(?:[<\d.,]|wbc|negative|positive|trace|none|nonreactive|reactive|few|coarse)") & ~has(line, r"\s{3}")
+
+
 def unwrap_prose(text: Column) -> Column:
     """Wrapped lines joined to paragraphs. Empty lines, prompts, laboratory lines and columns stay on lines of their own."""
-    lines = F.transform(F.split(text, "\n"), lambda raw: once(trim(raw), lambda t: F.struct(raw.alias("raw"), t.alias("text"), once(normalize_token(t), line_class).alias("kind"))))
+    lines = F.transform(F.split(text, "\n"), lambda raw: once(trim(raw), lambda t: F.struct(raw.alias("raw"), t.alias("text"), F.when(is_long(t), "other").otherwise(once(normalize_token(t), line_class)).alias("kind"))))
     pair = "struct<out:array<string>,held:string>"
 
     def state(out: Column, held: Column) -> Column:
@@ -86,7 +92,7 @@ def unwrap_prose(text: Column) -> Column:
             has(t, "(?i)^which of the following") | has(t, "(?i)^(?:intravenous infusion of which)") | line["kind"].isin("section", "name")
             | has(t, "(?i)studies show:|urinalysis shows:") | has(line["raw"], r"\S\s{2,}\S") | F.contains(t, F.lit("\t"))
         )
-        labels = once(normalize_token(s["held"]), lambda h: line_class(h).isin("section", "name")) | has(s["held"], "(?i)show:")
+        labels = (~is_long(s["held"]) & once(normalize_token(s["held"]), lambda h: line_class(h).isin("section", "name"))) | has(s["held"], "(?i)show:")
         joined = (
             F.when(has(s["held"], r"(?i)/mm\z") & t.isin("2", "3"), F.concat(s["held"], F.when(t == "3", "³").otherwise("²")))
             .when(s["held"].endswith("-") & has(t, "^[a-z]"), F.concat(s["held"], t))
