@@ -17,6 +17,7 @@ other than id and text are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +39,7 @@ PREDICT_AT = 0.3
 SHORTEST, LONGEST = 4, 10
 #: A token is split for features up to this length; of longer ones (no words) only rates are taken.
 LONG_TOKEN = 60
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 NEAR = 6
 
 # Second-person pronouns of the languages met, and letters that signs stand for.
@@ -48,7 +49,7 @@ SECOND_PERSON = frozenset(
 SIGNS = str.maketrans("013457@$€", "oieastase")
 WORD = regex.compile(r"\p{L}+")
 INSIDE = regex.compile(r"(?<=\p{L})[^\p{L}\s'’-]+(?=\p{L})")
-STRETCHED = regex.compile(r"(\p{L})\1{2,}")
+STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 EDGE = "\"'.,;:()[]{}<>…“”‘’«»!?¡¿"
 
 FEATURES = (
@@ -78,16 +79,26 @@ class TokenTable:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.at = lexicon, {}
+        self.openings = {b[:SHORTEST] for b in lexicon}
         self.rows = np.zeros((1 << 12, _PER_TOKEN + 1), np.float32)
 
     def weight(self, word: str) -> float:
-        best = 0.0
-        for piece in WORD.findall(word):
-            for b in beginnings(piece):
-                best = max(best, self.lexicon.get(b, 0.0))
-        return best
+        known, openings = self.lexicon, self.openings
+        return max((known.get(b, 0.0) for piece in WORD.findall(word) if piece[:SHORTEST] in openings for b in beginnings(piece)), default=0.0)
+
+    def describe_word(self, token: str, body: str) -> list[float]:
+        """As describe, for a token that is letters between marks, none of them stretched."""
+        low = body.lower()
+        own = max((self.lexicon.get(b, 0.0) for b in beginnings(low)), default=0.0) if low[:SHORTEST] in self.openings else 0.0
+        n, size = len(body), len(token)
+        upper = 0 if low == body else sum(map(str.isupper, body))
+        exclaimed, asked = (token.count("!"), token.count("?")) if size > n else (0, 0)
+        return [own > 0, own, own >= 3, 0, 0, low in SECOND_PERSON, 0, upper / n, upper >= 2 and upper == n, exclaimed, asked, (size - n) / size, 0, 0, 0, 0, size]
 
     def describe(self, token: str) -> list[float]:
+        body = token.strip(EDGE)
+        if body.isalpha() and len(token) <= LONG_TOKEN and not STRETCHED.search(body.lower()):
+            return self.describe_word(token, body)
         letters = [c for c in token if c.isalpha()]
         upper = sum(map(str.isupper, letters))
         signs = len(token) - len(letters) - sum(map(str.isdigit, token))
@@ -97,7 +108,6 @@ class TokenTable:
             low, undone = plain_forms(token)
             own = self.weight(low)
             again = self.weight(undone) if undone != low and not own else 0.0
-        body = token.strip(EDGE)
         starred = "*" in body and bool(letters)
         mixed = bool(letters) and (any(map(str.isdigit, body)) or any(c in body for c in "@$€"))
         weight = max(own, again)
@@ -117,9 +127,8 @@ class TokenTable:
                 grown = np.zeros((max(need, 2 * len(self.rows)), _PER_TOKEN + 1), np.float32)
                 grown[: len(self.rows)] = self.rows
                 self.rows = grown
-            for t in fresh:
-                self.rows[len(at)] = self.describe(t)
-                at[t] = len(at)
+            self.rows[len(at) : need] = [self.describe(t) for t in fresh]
+            at.update(zip(fresh, range(len(at), need), strict=True))
         return np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
 
 
