@@ -2,7 +2,7 @@
 
 Words of documents and benchmark items are compared as lower-case tokens. An item is tried on a document only where
 both share a run of five tokens. Then the longest unmarked common run is marked again and again, down to runs of five;
-runs are found by Karp-Rabin hashes that roll over unmarked tokens. Tiles may come in any order, so passages whose parts
+runs are found by Karp-Rabin hashes over unmarked tokens and compared. Tiles may come in any order, so passages whose parts
 were moved about are still found. A document is contaminated if tiles cover at least the given share of an item.
 
 The benchmark is a stated query set: it is taken in blocks of bounded size, and every block is held against all
@@ -35,81 +35,106 @@ COVERAGE = 0.5
 #: Text of the benchmark that one pass holds, about.
 BLOCK_BYTES = 4 << 20
 TOKEN = re.compile(r"\w+")
-_BASE, _MOD = 1_000_003, (1 << 61) - 1
+_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def rolled(ids: Sequence[int], marked: Sequence[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(start, Karp-Rabin hash) of each run of `size` unmarked tokens."""
-    lead = pow(_BASE, size - 1, _MOD)
-    h = held = 0
-    for i, (token, taken) in enumerate(zip(ids, marked)):
-        if taken:
-            h = held = 0
-            continue
-        if held == size:
-            h = (h - (ids[i - size] + 2) * lead) % _MOD
-            held -= 1
-        h = (h * _BASE + token + 2) % _MOD
-        held += 1
-        if held == size:
-            yield i - size + 1, h
-
-
-def common_runs(a: Sequence[int], b: Sequence[int], in_a: list[bool], in_b: list[bool], size: int) -> list[tuple[int, int, int]]:
-    """Maximal common unmarked runs of at least `size` tokens, as (length, start in a, start in b)."""
-    places = defaultdict(list)
-    for i, h in rolled(a, in_a, size):
-        places[h].append(i)
-    found = []
-    ends: dict[int, int] = {}  # by diagonal, where the last run ended
-    for j, h in rolled(b, in_b, size):
-        for i in places.get(h, ()):
-            if ends.get(j - i, -1) > j:
-                continue
-            n = 0
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not in_a[i + n] and not in_b[j + n]:
-                n += 1
-            if n >= size:
-                found.append((n, i, j))
-                ends[j - i] = j + n
-    return found
+def prefixes(ids: np.ndarray) -> np.ndarray:
+    """Karp-Rabin hashes of all beginnings of ids, modulo 2 ** 64."""
+    h = 0
+    out = [0]
+    for token in ids.tolist():
+        h = (h * _BASE + token + 2) & _MASK
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
+class Side:
+    """One side of a tiling: its tokens, which of them are taken, and the hashes of its runs."""
+
+    def __init__(self, ids: Sequence[int], powers: np.ndarray):
+        self.ids = np.asarray(ids, np.int64)
+        self.taken = self.ids < 0
+        self.prefix, self.powers = prefixes(self.ids), powers
+
+    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the runs of `size` free tokens, and their hashes."""
+        marked = np.concatenate([[0], np.cumsum(self.taken)])
+        at = np.flatnonzero(marked[size:] == marked[:-size])
+        return at, self.prefix[at + size] - self.prefix[at] * self.powers[size]
+
+
+def shared(a: Side, b: Side, size: int) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """Starts in a, in order, of free runs of `size` tokens that b has free as well, and by start their places in b. Hashes
+    find them, tokens decide; equal runs of a share one list."""
+    (at_a, hash_a), (at_b, hash_b) = a.runs(size), b.runs(size)
+    at_a, hash_a = at_a[(hit := np.isin(hash_a, hash_b))], hash_a[hit]
+    at_b, hash_b = at_b[(hit := np.isin(hash_b, hash_a))], hash_b[hit]
+    order = np.argsort(hash_b, kind="stable")
+    at_b, hash_b = at_b[order], hash_b[order]
+    by_text: dict[bytes, list[int]] = {}
+    places = {}
+    for i, lo, hi in zip(at_a.tolist(), np.searchsorted(hash_b, hash_a).tolist(), np.searchsorted(hash_b, hash_a, "right").tolist()):
+        text = a.ids[i : i + size].tobytes()
+        if text not in by_text:
+            by_text[text] = [j for j in at_b[lo:hi].tolist() if b.ids[j : j + size].tobytes() == text]
+        if by_text[text]:
+            places[i] = by_text[text]
+    return at_a, places
 
 
 def tiles(a: Sequence[int], b: Sequence[int], least: int = LEAST_MATCH) -> list[tuple[int, int, int]]:
     """Greedy tiling of a by runs of b: (length, start in a, start in b), longest first, never overlapping. Negative
-    tokens match nothing."""
-    in_a, in_b = [x < 0 for x in a], [x < 0 for x in b]
+    tokens match nothing.
+
+    The longest common free length is found by halving, as a run of n tokens holds one of n - 1; then all tiles of that
+    length are marked, by place in a, then in b. A length is looked at once, and tiles of different lengths are few (their
+    sum is at most the shorter text), so texts that repeat one word cost no more than others."""
+    longest = min(len(a), len(b))
+    powers = np.ones(longest + 1, np.uint64)
+    if longest:
+        powers[1:] = np.uint64(_BASE)
+        powers = np.multiply.accumulate(powers)
+    left, right = Side(a, powers), Side(b, powers)
     out = []
-    size = max(least, 20)
-    while True:
-        found = common_runs(a, b, in_a, in_b, size)
-        longest = max(found, default=(0, 0, 0))[0]
-        if longest > 2 * size:
-            size = longest
-            continue
-        queue = sorted(found, key=lambda m: (-m[0], m[1], m[2]))
-        while queue:
-            n, i, j = queue.pop(0)
-            free = [k for k in range(n) if not in_a[i + k] and not in_b[j + k]]
-            if len(free) == n:
-                out.append((n, i, j))
-                in_a[i : i + n] = [True] * n
-                in_b[j : j + n] = [True] * n
-            elif free:  # what a longer tile has left of this run competes again
-                start = free[0]
-                for k, after in zip(free, [*free[1:], None]):
-                    if after != k + 1:
-                        if k - start + 1 >= size:
-                            queue.append((k - start + 1, i + start, j + start))
-                        start = after
-                queue.sort(key=lambda m: (-m[0], m[1], m[2]))
-        if size == least:
-            return out
-        size = size // 2 if size > 2 * least else least
+    while longest >= least:
+        low, high = least - 1, longest  # low tokens are shared (or fewer than least), more than high are not
+        while low < high:
+            size = (low + high + 1) // 2
+            if common(left, right, size):
+                low = size
+            else:
+                high = size - 1
+        if low < least:
+            break
+        starts, places = shared(left, right, low)
+        used: dict[int, int] = {}  # by list of places, how many are spent
+        for i in starts.tolist():
+            found = places.get(i, ())
+            if left.taken[i : i + low].any():
+                continue
+            k = used.get(id(found), 0)
+            while k < len(found) and right.taken[found[k] : found[k] + low].any():
+                k += 1
+            used[id(found)] = k
+            if k < len(found):
+                out.append((low, i, found[k]))
+                left.taken[i : i + low] = True
+                right.taken[found[k] : found[k] + low] = True
+        longest = low - 1
+    return out
+
+
+def common(a: Side, b: Side, size: int) -> bool:
+    """Whether both sides have a free run of `size` tokens in common."""
+    (at_a, hash_a), (at_b, hash_b) = a.runs(size), b.runs(size)
+    both, first_a, first_b = np.intersect1d(hash_a, hash_b, return_indices=True)
+    if any(a.ids[i : i + size].tobytes() == b.ids[j : j + size].tobytes() for i, j in zip(at_a[first_a].tolist(), at_b[first_b].tolist())):
+        return True
+    return bool(len(both)) and bool(shared(a, b, size)[1])  # different runs of one hash: look at all of them
 
 
 class Block:
@@ -118,10 +143,10 @@ class Block:
     def __init__(self, items: Sequence[tuple[object, str]]):
         self.word: dict[str, int] = {}
         self.items = [(key, [self.word.setdefault(w, len(self.word)) for w in ws]) for key, text in items if len(ws := tokens(text)) >= LEAST_MATCH]
-        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        self.seeds: dict[tuple[int, ...], dict[int, list[int]]] = {}
         for at, (_, ids) in enumerate(self.items):
             for i in range(len(ids) - LEAST_MATCH + 1):
-                self.seeds[tuple(ids[i : i + LEAST_MATCH])].append((at, i))
+                self.seeds.setdefault(tuple(ids[i : i + LEAST_MATCH]), {}).setdefault(at, []).append(i)
 
     def matches(self, text: str | None, coverage: float) -> list[tuple[object, int, int, int]]:
         """(item, its words, words tiled, tiles) of each item that is covered well enough."""
@@ -136,22 +161,25 @@ class Block:
         run = inside[: len(ids) - LEAST_MATCH + 1].copy()
         for k in range(1, LEAST_MATCH):
             run &= inside[k : len(ids) - LEAST_MATCH + 1 + k]
-        in_doc, in_item = defaultdict(set), defaultdict(set)
+        grams = defaultdict(list)  # the document's seeds, each with its places
         for j in np.flatnonzero(run).tolist():
-            for at, i in self.seeds.get(tuple(ids[j : j + LEAST_MATCH].tolist()), ()):
-                in_doc[at].update(range(j, j + LEAST_MATCH))
-                in_item[at].update(range(i, i + LEAST_MATCH))
+            if (gram := tuple(ids[j : j + LEAST_MATCH].tolist())) in self.seeds:
+                grams[gram].append(j)
+        in_item, having = defaultdict(set), defaultdict(list)
+        for gram in grams:
+            for at, places in self.seeds[gram].items():
+                having[at].append(gram)
+                for i in places:
+                    in_item[at].update(range(i, i + LEAST_MATCH))
         out = []
         for at, covered in in_item.items():
             key, item = self.items[at]
             if len(covered) < coverage * len(item):  # tiles lie inside the seeds' runs
                 continue
-            part, last = [], None
-            for j in sorted(in_doc[at]):
-                if last is not None and j != last + 1:
-                    part.append(-1)
-                part.append(int(ids[j]))
-                last = j
+            starts = np.concatenate([np.array(grams[gram]) for gram in having[at]])
+            inside = np.unique(starts[:, None] + np.arange(LEAST_MATCH))
+            gap = np.flatnonzero(np.diff(inside) > 1) + 1
+            part = np.insert(ids[inside], gap, -1)
             found = tiles(item, part)
             n = sum(m[0] for m in found)
             if n >= coverage * len(item):

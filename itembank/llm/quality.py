@@ -6,7 +6,9 @@ applied in Arrow batches against a fixed probability. Features are relative freq
 mean weight of its n-grams, and length does not matter.
 
 Defined cases: a null or blank text has no words and fails the base rules; labels that are null, or whose document is
-missing, are not used; an id labelled several times takes its lowest label; without labels of both kinds every document
+missing, are not used; an id labelled several times takes its lowest label; of different texts under one labelled id
+the model learns the one whose frequencies come first as bytes; repeated rows and ties are scored each by itself, so
+alike; very long texts are counted and scored whole; without labels of both kinds every document
 that passes the base rules is kept; an empty table gives no rows; other columns are kept by the filter and not read.
 """
 
@@ -184,7 +186,8 @@ def train(sample: DataFrame, rounds: int = 60, penalty: float = 1e-4) -> Quality
     kind = sample.schema["doc_id"].dataType.simpleString()
     label = sample.schema["quality"].dataType.simpleString()
     rows = sample.select("doc_id", "text", "quality").mapInArrow(features, f"doc_id {kind}, index binary, value binary, quality {label}")
-    got = sorted(rows.dropDuplicates(["doc_id"]).toLocalIterator(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("index", "value", "quality")).alias("r")).select("doc_id", "r.*")
+    got = sorted(one.toLocalIterator(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))
     y = np.array([r[3] for r in got], np.float64)
     held = np.arange(len(y)) % 5 == 4
     if any(len(set(y[part])) < 2 for part in (held, ~held)):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from itembank.llm import decontam, lm, neardup, queries, secrets, suffix
+from itembank.llm import decontam, lm, neardup, quality, queries, secrets, suffix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -262,14 +262,33 @@ def plain_tiled(item, doc, least=5):
 
 def test_tiling_brute_force():
     rng = random.Random(6)
-    for _ in range(60):
-        item = [rng.randint(0, 5) for _ in range(rng.randint(5, 30))]
-        doc = [rng.randint(0, 5) for _ in range(10)] + item[12:] + [99] + item[:12] + [rng.randint(0, 5) for _ in range(10)]
+    for kinds in (1, 2, 6) * 40:
+        item = [rng.randrange(kinds) for _ in range(rng.randint(5, 30))]
+        doc = [rng.randrange(kinds) for _ in range(10)] + item[12:] + [-1] + item[:12] + [rng.randrange(kinds) for _ in range(10)]
         got = decontam.tiles(item, doc)
-        assert abs(sum(m[0] for m in got) - plain_tiled(item, doc)) <= 4 and all(item[i : i + n] == doc[j : j + n] for n, i, j in got)
+        assert sum(m[0] for m in got) == plain_tiled(item, doc) and all(item[i : i + n] == doc[j : j + n] for n, i, j in got)
         assert len({k for n, i, _ in got for k in range(i, i + n)}) == sum(m[0] for m in got)
 
 
+def test_tiling_of_repeated_words():
+    """Texts that repeat a word or two take time near their length: 120,000 words against 400 in seconds."""
+    for word in (["x"], ["x", "y"]):
+        block = decontam.Block([("item", " ".join(word * (400 // len(word))))])
+        start = time.perf_counter()
+        assert block.matches(" ".join(word * (120_000 // len(word))), 0.5) == [("item", 400, 400, 1)]
+        assert block.matches(" ".join((word * 7 + ["q"]) * (120_000 // 8)), 0.5)[0][1] == 400
+        assert time.perf_counter() - start < 20
+
+
+def test_quality_repeated_labelled_id(spark):
+    """Of different texts under one labelled id the model takes the same one, however rows are dealt."""
+    rows = [(k, ("the house stands by the river " if k % 2 else "buy now click here win cash ") * (1 + k % 5)) for k in range(40)]
+    rows += [(k, "quite another text about ships and trees " * 3) for k in range(0, 40, 3)]
+    sample = spark.createDataFrame([(k, t, k % 2) for k, t in rows], "doc_id long, text string, quality int")
+    models = [quality.train(sample.orderBy(order).repartition(parts), rounds=5) for order, parts in ((F.asc("text"), 1), (F.desc("text"), 7))]
+    assert np.array_equal(models[0].weights, models[1].weights) and (models[0].slope, models[0].shift) == (models[1].slope, models[1].shift)
+
+
 def test_decontam_finds_all(spark, sf01, odd, none):
     found = {(r.doc_id, r.item_id) for r in queries.op7_decontam(spark, sf01).collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf01}/benchmark.parquet").collect()}
