@@ -60,6 +60,10 @@ class Side:
         self.taken = self.ids < 0
         self.prefix, self.powers = prefixes(self.ids), powers
 
+    def free(self) -> int:
+        """Tokens of the longest free run."""
+        return int(np.diff(np.flatnonzero(np.concatenate([[True], self.taken, [True]]))).max()) - 1
+
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the runs of `size` free tokens, and their hashes."""
         marked = np.concatenate([[0], np.cumsum(self.taken)])
@@ -100,10 +104,10 @@ def tiles(a: Sequence[int], b: Sequence[int], least: int = LEAST_MATCH) -> list[
         powers = np.multiply.accumulate(powers)
     left, right = Side(a, powers), Side(b, powers)
     out = []
-    while longest >= least:
+    while (longest := min(longest, left.free(), right.free())) >= least:
         low, high = least - 1, longest  # low tokens are shared (or fewer than least), more than high are not
         while low < high:
-            size = (low + high + 1) // 2
+            size = high if high == longest else (low + high + 1) // 2  # whole passages are common: try them first
             if common(left, right, size):
                 low = size
             else:
