@@ -207,14 +207,13 @@ def match_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEMS = PAGES_SQL + ", k AS (SELECT q.set_id, q.page_number AS item, q.doc_id, q.doc_id % 11 <> 0 AS answered FROM pages_q q) "
 
 
-@query(f"{_ITEMS} SELECT set_id, item, CASE WHEN answered THEN chr(CAST(65 + doc_id % 5 AS INTEGER)) END AS key, CASE WHEN answered THEN 2 * item END AS answer_page FROM k WHERE doc_id % 7 <> 0")
+@query(f"{_ITEMS}, n AS (SELECT *, answered AND doc_id % 7 <> 0 AS numbered FROM k) SELECT set_id, item, CASE WHEN numbered THEN chr(CAST(65 + doc_id % 5 AS INTEGER)) END AS key, CASE WHEN numbered THEN 2 * item END AS answer_page FROM n")
 def merge_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of merge_q_and_a that SQL can say: items with a header on their pages, whose answer is found by number."""
+    """Every item with the answer that carries its number; null where none does (merge_q_and_a goes on by wording)."""
     questions = A.coalesce_questions(q_drafts(q_pages(spark, sf_dir)))
     answers = A.fold_answer_pages(a_drafts(a_pages(spark, sf_dir)))
-    headed = derived(spark, sf_dir, "pages_q").where("doc_id % 7 <> 0").select("set_id", F.col("page_number").alias("item"))
     merged = A.merged_rows(questions.join(answers.where("item > 0").select("set_id", "item", F.struct(*A.ANSWER).alias("a")), ["set_id", "item"], "left"))
-    return merged.join(headed, ["set_id", "item"], "left_semi").select("set_id", "item", "key", F.get("answer_pages", 0).alias("answer_page"))
+    return merged.select("set_id", "item", "key", F.get("answer_pages", 0).alias("answer_page"))
 
 
 @query()

@@ -10,10 +10,11 @@ from ..functions import choices as C
 from ..functions.rules import duck_has, settled
 from ..operators import pages as PG
 from ..operators import qc, reread
+from ..operators.assemble import import_sets as import_pages
 from ..sources import io
-from ..sources.derive import derived
+from ..sources.derive import derived, spread
 from ..streaming import jobs
-from .bank import _ISSUES, PARSED_SQL, a_pages, parsed_columns, q_pages, spoilt
+from .bank import _AGED_SQL, _ISSUES, _OPENING, PARSED_SQL, a_drafts, a_pages, parsed_columns, q_drafts, q_pages, spoilt
 from .texts import _LISTED, BANK, PAGES_SQL, Query, duck_glyphs, listed, page_choices, pages
 
 QUERIES: dict[str, Query] = {}
@@ -140,6 +141,20 @@ def refine_with_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("set_id", "item", "stem", listed(F.col("choices")).alias("choices"), F.array_join("warnings", " ").alias("warnings"))
 
 
+# What a bad first reading makes of a page: its number stays, its stem and choices are another's.
+_MISREAD = "'Exam Section: Item ' || page_number || ' of 500' || chr(10) || page_number || '. Granite quarries beyond northern harbours supplied masons throughout several decades whenever barges reached upstream villages.' || chr(10) || 'Which quarry closed?' || chr(10) || 'A) Basalt' || chr(10) || 'B) Chalk' || chr(10) || 'C) Slate' || chr(10) || 'D) Marble'"
+
+
+@query(f"{BANK} SELECT set_id, page_number AS item, row_number() OVER (ORDER BY set_id, page_number) AS question_number, {_LISTED} AS choices, {_AGED_SQL} AS opening, doc_id % 4 = 1 AS aligned FROM q")
+def import_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole import with second readings: a quarter of the question pages were misread at first; all pages are read again,
+    and items are numbered over all sets. Stems and choices come out as the pages have them."""
+    good = derived(spark, sf_dir, "pages_q")
+    first = spread(good.withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.expr(_MISREAD)).otherwise(F.col("text"))).drop("doc_id", "kind"), "set_id", "page_number")
+    items, _ = import_pages(first, a_pages(spark, sf_dir), q_drafts, a_drafts, lambda rows: reread.refined(rows, q_pages(spark, sf_dir)))
+    return items.select("set_id", "item", "question_number", listed(F.col("choices")).alias("choices"), F.regexp_extract("stem", _OPENING, 1).alias("opening"), F.array_contains("warnings", reread.ALIGNED).alias("aligned"))
+
+
 # --- page arrival
 @query(PARSED_SQL)
 def stream_parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

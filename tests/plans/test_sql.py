@@ -12,8 +12,8 @@ from itembank.plans import attempts, bank, imports, labs, texts
 TABLES = "documents events lineitem orders part conversations benchmark".split()
 #: The rest, which parse whole pages and take longer, are left to the side-by-side comparison of the driver.
 QUICK = [(attempts, n) for n in attempts.ORACLES] + [(labs, n) for n in labs.ORACLES]
-QUICK += [(imports, n) for n in ("src_pages_json", "sink_lean_snapshot", "split_merged_choices", "trim_choices", "repair_two_column", "temperature_guard", "visual_worklist")]
-QUICK += [(bank, n) for n in ("source_stem", "warning_union", "attach_continuations", "fold_answer_pages", "number_questions", "qc_stem", "overlap_score", "qc_discrepancy", "pair_files", "pair_leftover", "dedupe_files", "missing_items")]
+QUICK += [(imports, n) for n in ("src_pages_json", "sink_lean_snapshot", "split_merged_choices", "trim_choices", "repair_two_column", "temperature_guard", "visual_worklist", "import_sets")]
+QUICK += [(bank, n) for n in ("source_stem", "warning_union", "attach_continuations", "fold_answer_pages", "number_questions", "qc_stem", "overlap_score", "qc_discrepancy", "pair_files", "pair_leftover", "dedupe_files", "missing_items", "merge_by_number")]
 QUICK += [(texts, n) for n in ("tokens_content", "spaced_glyph_flag", "is_cover_page", "extract_item", "extract_key", "split_choices", "pad_choices", "choice_shape", "classify_file")]
 
 
