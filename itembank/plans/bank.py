@@ -171,29 +171,37 @@ def fold_answer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- matching
-_PRINTS = f"""WITH d AS (SELECT doc_id, source AS set_id, array_to_string(({duck_words(duck_cut('text'), TELLING)})[1:12], ' ') AS print FROM documents),
- b AS (SELECT item_id, array_to_string(({duck_words(duck_cut('text'), TELLING)})[1:12], ' ') AS print FROM benchmark),
- p AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(string_split(print, ' ')) AS w FROM d) JOIN (SELECT item_id, unnest(string_split(print, ' ')) AS w FROM b) USING (w) WHERE w <> ''),
- s AS (SELECT p.doc_id, p.item_id, CASE WHEN d.print = '' OR b.print = '' THEN 0 WHEN d.print = b.print THEN 100
+_PRINT = lambda t: f"array_to_string(({duck_words(duck_cut(t), TELLING)})[1:12], ' ')"
+#: What a second booklet makes of a text: its beginning is lost, or its end is another's.
+_REPRINT = "CASE doc_id % 3 WHEN 0 THEN substr(text, 25) WHEN 1 THEN substr(text, 1, 80) || ' granite' ELSE substr(text, 60) END"
+# Documents against the benchmark (set -1), and ten at a time against their reprints: every pair of a set is scored.
+_PRINTS = f"""WITH d AS (SELECT doc_id, {_PRINT("text")} AS print FROM documents), b AS (SELECT item_id, {_PRINT("text")} AS print FROM benchmark),
+ v AS (SELECT doc_id AS item_id, {_PRINT("v")} AS print FROM (SELECT doc_id, {_REPRINT} AS v FROM documents) x),
+ l AS (SELECT -1 AS set_id, doc_id, print FROM d UNION ALL SELECT doc_id // 10, doc_id, print FROM d), r AS (SELECT -1 AS set_id, item_id, print FROM b UNION ALL SELECT item_id // 10, item_id, print FROM v),
+ s AS (SELECT set_id, doc_id, item_id, CASE WHEN d.print = '' OR b.print = '' THEN 0 WHEN d.print = b.print THEN 100
    WHEN length(substr(d.print, 1, 48)) >= 24 AND (starts_with(d.print, substr(b.print, 1, 48)) OR starts_with(b.print, substr(d.print, 1, 48))) THEN 85
-   ELSE len(list_filter(string_split(b.print, ' '), lambda w: list_contains(string_split(d.print, ' '), w)))::DOUBLE / len(string_split(b.print, ' ')) * 70 END AS score FROM p JOIN d USING (doc_id) JOIN b USING (item_id)) """
+   ELSE len(list_filter(string_split(b.print, ' '), lambda w: list_contains(string_split(d.print, ' '), w)))::DOUBLE / len(string_split(b.print, ' ')) * 70 END AS score FROM l d JOIN r b USING (set_id)) """
 
 
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    left = read("documents").select(F.lit(1).alias("set_id"), F.col("doc_id").alias("l_id"), T.vignette_fingerprint(F.col("text")).alias("print"))
-    right = read("benchmark").select(F.lit(1).alias("set_id"), F.col("item_id").alias("r_id"), T.vignette_fingerprint(F.col("text")).alias("print"))
-    return A.scored_pairs(left, right).select(F.col("l_id").alias("doc_id"), F.col("r_id").alias("item_id"), F.round("score", 6).alias("score"))
+    docs, ten = read("documents"), F.floor(F.col("doc_id") / 10)
+    printed = lambda text: T.vignette_fingerprint(text).alias("print")
+    mine = docs.select("doc_id", printed(F.col("text")))
+    every = F.lit(-1).cast("long").alias("set_id")
+    left = mine.select(F.explode(F.array(every, ten)).alias("set_id"), F.col("doc_id").alias("l_id"), "print")
+    right = read("benchmark").select(every, F.col("item_id").alias("r_id"), printed(F.col("text"))).unionByName(docs.select(ten.alias("set_id"), F.col("doc_id").alias("r_id"), printed(F.expr(_REPRINT))))
+    return A.scored_pairs(left, right).select("set_id", F.col("l_id").alias("doc_id"), F.col("r_id").alias("item_id"), F.round("score", 6).alias("score"))
 
 
-@query(_PRINTS + f" SELECT doc_id, item_id, round(score, 6) AS score FROM s WHERE score >= {A.ACCEPTED}")
+@query(_PRINTS + f" SELECT set_id, doc_id, item_id, round(score, 6) AS score FROM s WHERE score >= {A.ACCEPTED}")
 def score_vignette_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_scores(spark, sf_dir)
 
 
-@query(_PRINTS + " SELECT doc_id, item_id, round(score, 6) AS score FROM s WHERE score >= 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, item_id) = 1")
+@query(_PRINTS + " SELECT set_id, doc_id, item_id, round(score, 6) AS score FROM s WHERE score >= 40 QUALIFY row_number() OVER (PARTITION BY set_id, doc_id ORDER BY round(score, 6) DESC, item_id) = 1")
 def top1_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id"))
+    rank = F.row_number().over(Window.partitionBy("set_id", "doc_id").orderBy(F.desc("score"), "item_id"))
     return document_scores(spark, sf_dir).withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
@@ -250,20 +258,20 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("set_id"), F.col("doc_id").alias("item"), F.coalesce("text", F.lit("")).alias("stem"))
 
 
-_FLAT = duck_trim("regexp_replace(stem, '\\s+', ' ', 'g')")
-_LEAK_STEM = "CASE item % 5 WHEN 0 THEN stem || chr(10) || 'Educational Objective: x' WHEN 1 THEN 'Choice A: ' || stem || ' is incorrect' WHEN 2 THEN 'short' ELSE stem END"
+_SEEN = "substr(regexp_replace(stem, '\\s+', ' ', 'g'), 1, 220) AS detail"
+_LEAK_STEM = "CASE item % 5 WHEN 0 THEN stem || chr(10) || 'Educational Objective: x' WHEN 1 THEN 'Choice A: ' || stem || ' is incorrect' WHEN 2 THEN 'short' || repeat(' ', CAST(item % 50 AS INTEGER)) ELSE stem END"
 _KIND = "CASE " + " ".join(f"WHEN {duck_has('stem', p)} THEN '{k}'" for p, k in P.LEAK_KINDS) + " END"
 
 
 def leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
     item, stem = F.col("item") % 5, F.col("stem")
     return stems(spark, sf_dir).withColumn(
-        "stem", F.when(item == 0, F.concat(stem, F.lit("\nEducational Objective: x"))).when(item == 1, F.concat(F.lit("Choice A: "), stem, F.lit(" is incorrect"))).when(item == 2, "short").otherwise(stem)
+        "stem", F.when(item == 0, F.concat(stem, F.lit("\nEducational Objective: x"))).when(item == 1, F.concat(F.lit("Choice A: "), stem, F.lit(" is incorrect"))).when(item == 2, F.concat(F.lit("short"), F.repeat(F.lit(" "), (F.col("item") % 50).cast("int")))).otherwise(stem)
     )
 
 
 @query(f"""WITH i AS ({_ITEM_STEMS}), l AS (SELECT set_id, item, {_LEAK_STEM} AS stem FROM i)
- SELECT set_id, item, kind FROM (SELECT set_id, item, {_KIND} AS kind FROM l) WHERE kind IS NOT NULL UNION ALL SELECT set_id, item, 'short-stem' FROM l WHERE length({_FLAT}) < 30""")
+ SELECT set_id, item, kind, detail FROM (SELECT set_id, item, {_KIND} AS kind, {_SEEN} FROM l) WHERE kind IS NOT NULL UNION ALL SELECT set_id, item, 'short-stem', {_SEEN} FROM l WHERE length(stem) < 30""")
 def qc_stem_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.stem_leaks(leaky(spark, sf_dir))
 
