@@ -21,11 +21,11 @@ def test_merge_returns_every_item(spark, sf):
     got = {(r.set_id, r.item): (r.key, r.answer_page) for r in bank.QUERIES["merge_q_and_a"](spark, sf).collect()}
     by_number = {(r[0], r[1]): (r[2], r[3]) for r in base.execute(bank.ORACLES["merge_by_number"]).fetchall()}
     every = {tuple(r) for r in base.execute("SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) FROM documents").fetchall()}
-    assert set(got) == every > set(by_number)
     answered = {k: v for k, v in by_number.items() if v[0]}
+    assert set(got) == set(by_number) == every > set(answered)
     assert {k: got[k] for k in answered} == answered
     pages = [(k[0], v[1]) for k, v in got.items() if v[1] is not None]
-    assert len(pages) == len(set(pages)) and any(got[k][0] for k in every - set(by_number))
+    assert len(pages) == len(set(pages)) and any(got[k][0] for k in every - set(answered))
 
 
 def score(left, right):

@@ -156,3 +156,14 @@ def test_bank_of_arriving_pages_equals_batch(spark):
     assert kept(jobs.current_bank(spark, path)) == want
     jobs.merge_batch(late, 1, path)  # tried again
     assert kept(jobs.current_bank(spark, path)) == want
+    again = io.fresh_dir(spark, "bank")
+    jobs.compact_bank(spark, path, again)
+    assert kept(jobs.current_bank(spark, again)) == want
+    jobs.merge_batch(late, 1, again)  # tried again after the compaction
+    assert kept(jobs.current_bank(spark, again)) == want
+    mended = pages.where("set_id = 'one' and kind = 'a' and page_number = 20").withColumn("text", F.replace("text", F.lit("Answer: B"), F.lit("Answer: D")))
+    jobs.merge_batch(mended, 2, again)  # a page read once more, otherwise
+    assert kept(jobs.current_bank(spark, again)) == [r.replace("key='B'", "key='D'").replace("Answer: B", "Answer: D") if "set_id='one'" in r else r for r in want]
+    last = io.fresh_dir(spark, "bank")
+    jobs.compact_bank(spark, again, last)
+    assert kept(jobs.current_bank(spark, last)) == kept(jobs.current_bank(spark, again)) and kept(jobs.current_bank(spark, path)) == want
