@@ -2,9 +2,11 @@
 
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from itembank.functions import glyph
 from itembank.functions import patterns as P
 from itembank.functions.glyph import rejoined
 from itembank.operators import pages as PG
@@ -79,3 +81,38 @@ def test_a_line_of_many_words_is_rejoined_in_linear_time(spark):
     text = "anx i ety and numb ness " * 20_000
     got = spark.createDataFrame([(text,), (None,)], "t string").select(rejoined(F.col("t")).alias("t")).collect()
     assert got[0].t == "anxiety and numbness " * 20_000 and got[1].t is None
+
+
+def test_rejoining_asks_only_pairs_that_may_join(spark):
+    """Every pair of parts joins as PAIR and the kept words say, whatever is asked before."""
+    parts = "me a an An ab xyz yst cyst str stra spl splen hy ly pathy der ness ing tion i ety numb anx hepa éab ab, x1 Pre pre- b1 (ne ps psych ic the pain syst thr iso osis 3mg fract ured u".split()
+    kept = set(P.KEEP_WORDS)
+    pairs = [(a, b) for a in parts for b in parts if re.match("[a-z]", b)]
+    got = spark.createDataFrame([(f"{a} {b}",) for a, b in pairs], "t string").select("t", rejoined(F.col("t"), 1).alias("r")).collect()
+    fits = re.compile(glyph.PAIR.replace(r"\z", r"\Z"), re.ASCII)
+    for row, (a, b) in zip(got, pairs, strict=True):
+        m = re.match(r"[^A-Za-z]*([A-Za-z]+) ([a-z]+)[^A-Za-z]*\Z", row.t)
+        barred = m is None or m[2] in kept or (m[1].lower() in kept and m[1].lower() != "me")
+        assert row.r == (a + b if not barred and fits.search(row.t) else row.t), row
+    assert 100 < sum(row.r != row.t for row in got) < len(got) / 2
+
+
+def test_words_that_cannot_join_are_not_matched_pair_by_pair(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(glyph.re, "compile", lambda p, *a, real=re.compile: Asked(real(p, *a), asked) if p.startswith("^[^A-Za-z]*(?!") else real(p, *a))
+    rejoin = glyph._rejoin(8).func
+    words = [f"{a}{b}" for a in ("lamin", "corad", "mites", "rodan") for b in ("ado", "isel", "ura", "emon")]
+    text = " ".join(f"{a} {b}" for a in words for b in words)
+    assert rejoin(pd.DataFrame({"text": [text], "broken": [True]}))[0] == text and not asked
+
+
+class Asked:
+    def __init__(self, pattern, asked):
+        self.pattern, self.asked = pattern, asked
+
+    def search(self, text):
+        self.asked.append(text)
+        return self.pattern.search(text)
+
+    def __getattr__(self, name):
+        return getattr(self.pattern, name)
