@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +152,35 @@ def test_lm_pairs_brute_force(spark, odd, none, monkeypatch):
     assert lm.pair_scores(none, labels.where("false")).count() == 0 and lm.pair_scores(odd, labels.where("false")).count() == len(ODD)
 
 
+def test_lm_slot_is_priced_in_parts():
+    """One slot of a million pairs: the same sums as by a dictionary, with less than 50 bytes a pair at once."""
+    rng = np.random.default_rng(5)
+    n_rows, docs, per = 10, 1000, 100
+    held = []
+    for _ in range(n_rows):
+        names = rng.integers(0, 1 << 40, 5000).astype("<u8")[rng.integers(0, 5000, docs * per)]
+        names = np.ascontiguousarray(names.view(np.uint8).reshape(-1, 8)[:, :6])
+        held.append((7, rng.integers(0, 1 << 60, docs), rng.integers(0, 2, docs).astype(np.uint8), np.full(docs, per, "<u4"), names, rng.integers(1, 5, docs * per).astype("<u4")))
+    columns = [pa.array([row[0] for row in held])] + [pa.array([row[i].tobytes() for row in held], pa.binary()) for i in range(1, 6)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["slot", "records", "good", "sizes", "names", "counts"])
+    tracemalloc.start()
+    (got,) = lm.priced((10**6, 2 * 10**6))(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * n_rows * docs * per
+    count, target, want = Counter(), Counter(), []
+    rows = [(r, g, name.tobytes(), int(n)) for _, rs, gs, _, names, ns in held for (r, g), part, many in zip(zip(rs, gs), names.reshape(docs, per, 6), ns.reshape(docs, per)) for name, n in zip(part, many)]
+    for _, g, name, n in rows:
+        count[name] += n
+        target[name] += n * int(g)
+    loss = lambda n, total: round(-math.log(lm.LONGER * n / total + (1 - lm.LONGER) / (2 * 10**6)) / lm.UNIT)
+    t, b = ({name: loss(c[name], total) for name in count} for c, total in ((target, 10**6), (count, 2 * 10**6)))
+    for at in range(0, len(rows), per):
+        part = rows[at : at + per]
+        want.append((part[0][0], sum(n for *_, n in part), sum(t[x] * n for *_, x, n in part), sum(b[x] * n for *_, x, n in part)))
+    assert list(zip(*(c.to_pylist() for c in got.columns))) == want
+
+
 def test_lm_query_counts_words(spark, sf):
     got = {r.doc_id: r.n_tokens for r in queries.op2_lm(spark, sf).collect()}
     assert got == {i: len((t or "").encode().split()) for i, t in texts(spark, sf).items()}
