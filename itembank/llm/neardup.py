@@ -38,7 +38,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
-REMEMBERED = 500_000
+#: Texts that get their darts at once: some two thousand darts fall to a text however short it is.
+SIGNED = 256
 #: Members of a bucket that are compared in one task, on average, with as many others.
 BLOCK = 512
 #: Sketches that agree in a smaller share of coordinates are not compared further. At a similarity of 0.8 the share's
@@ -46,7 +47,6 @@ BLOCK = 512
 SKETCH_LEAST = 0.66
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
-_words: dict[bytes, int] = {}
 #: P(at most m darts) in a region with one expected.
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, m + 1), dtype=float) for m in range(18)])
 
@@ -62,12 +62,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
-    if fresh := set(words).difference(_words):
-        if len(_words) + len(fresh) > REMEMBERED:
-            _words.clear()
-            fresh = set(words)
-        _words.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in fresh)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    codes = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in set(words)}
+    return np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +91,15 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(text: np.ndarray, code: np.ndarray, weight: np.ndarray, n_texts: int) -> np.ndarray:
-    """n_texts x K: the earliest dart of each coordinate, as the bits of its rank above bits that name it. Any real weights do."""
+    """n_texts x K: the earliest dart of each coordinate, as the bits of its rank above bits that name it. Any real weights do.
+    Texts come in order; SIGNED of them are held at once."""
+    starts = np.arange(0, n_texts, SIGNED)
+    cuts = np.searchsorted(text, np.r_[starts, n_texts])
+    parts = [thrown(text[a:b] - k, code[a:b], weight[a:b], min(SIGNED, n_texts - k)) for k, a, b in zip(starts, cuts, cuts[1:])]
+    return np.concatenate(parts) if parts else np.empty((0, K), np.uint64)
+
+
+def thrown(text: np.ndarray, code: np.ndarray, weight: np.ndarray, n_texts: int) -> np.ndarray:
     out = np.full(n_texts * K, np.iinfo(np.uint64).max, np.uint64)
     norm = np.bincount(text, weight, n_texts)
     live = norm > 0

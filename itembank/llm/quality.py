@@ -33,9 +33,7 @@ SYMBOLS = "#*$%&|<>"
 MAX_LABELLED = 1500
 #: A document is kept if its calibrated probability of good quality, with both kinds equally likely, is at least this.
 KEEP_AT = 0.5
-REMEMBERED = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_hashes: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -51,13 +49,7 @@ class QualityModel:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _hashes
-    if fresh := set(words).difference(known):
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = set(words)
-        known.update((w, zlib.crc32(w)) for w in fresh)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
 
 
 def bucket(code: np.ndarray, family: int) -> np.ndarray:

@@ -400,6 +400,20 @@ def test_signature_estimates_weighted_jaccard():
     assert abs((both[0] == both[1]).mean() - want) < 4 * math.sqrt(want * (1 - want) / neardup.K)
 
 
+def test_signatures_of_many_short_texts():
+    """Memory does not grow with the number of texts of a batch: a short text gets as many darts as a long one."""
+    texts = [f"{k} five words or six {k % 7}" for k in range(4000)]
+    at, code, weight = neardup.shingles(texts)
+    tracemalloc.start()
+    got = neardup.signatures(at, code, weight, len(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    for k in (0, 255, 256, 3999):
+        assert (got[k] == neardup.signatures(*neardup.shingles([texts[k]]), 1)[0]).all()
+    assert neardup.signatures(at[:0], code[:0], weight[:0], 0).shape == (0, neardup.K)
+
+
 def test_neardup_brute_force(spark, sf01, odd, none):
     rows = list(texts(spark, sf01).items())
     got = neardup.near_duplicate_classes(spark.read.parquet(f"{sf01}/documents.parquet"))
