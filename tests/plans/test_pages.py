@@ -329,3 +329,10 @@ def test_segments_rebuild_the_stem(spark):
     rows = B.stem_segments(spark.createDataFrame([(1, text), (2, ""), (3, "Leukocyte count")], "item_id int, stem string")).where("item_id = 1").orderBy("seg").collect()
     assert [r.kind for r in rows] == ["text", "labs", "text", "labs", "text"] and "\n".join(r.text for r in rows) == text
     assert all(text[r.seg_start :].startswith(r.text) for r in rows)
+
+
+def test_lab_lines_are_dealt_over_tasks(spark, sf):
+    """One small file is one task of input; classing its lines is not."""
+    from itembank.plans import texts
+
+    assert texts.QUERIES["lab_line_class"](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
