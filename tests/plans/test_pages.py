@@ -336,3 +336,30 @@ def test_lab_lines_are_dealt_over_tasks(spark, sf):
     from itembank.plans import texts
 
     assert texts.QUERIES["lab_line_class"](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_unused_stems_are_not_tidied(spark, sf):
+    from itembank.plans import texts
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = texts.page_choices(spark, sf)
+    assert "(?i)^mark" in plan(rows) and "(?i)^mark" not in plan(rows.drop("stem"))
+
+
+def test_guarded_choice_rules_equal_plain_ones(spark):
+    """Texts of fragments that the rules look at: guards leave nothing out."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from itembank.functions import patterns as P
+    from itembank.functions.rules import _replaced, sub
+
+    parts = ["A", "B)", "C.", " ", "\n", "  ", "O", "0", "x", "Q", "I", "l)", "1.", "H)", "Dl", "D1 ", "Heart", "no", "(Yes)", "%", ")", "\t", "Full Screen", "proceed to next item", "5", "Oa)", "\n\n"]
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choices(parts, k=rng.randint(1, 14)))) for k in range(20000)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    both = df.select("t", sub(F.col("t"), P.CHOICE_MARKUP).alias("a"), _replaced(F.col("t"), P.CHOICE_MARKUP).alias("b"), F.length(F.regexp_replace("t", "[^A-Za-z]", "")).alias("n"), F.rlike("t", F.lit(r"\A(?:[^A-Za-z]*+[A-Za-z]){8}")).alias("m"))
+    assert both.where("a <> b").take(3) == []
+    assert both.where("(n >= 8) <> m").take(3) == []
+    assert both.where("a <> t").count() > 5000
