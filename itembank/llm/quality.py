@@ -33,6 +33,8 @@ SYMBOLS = "#*$%&|<>"
 MAX_LABELLED = 1500
 #: A document is kept if its calibrated probability of good quality, with both kinds equally likely, is at least this.
 KEEP_AT = 0.5
+#: Bytes of text whose n-grams are held at once; they take some sixty times as much.
+AT_ONCE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -222,7 +224,7 @@ def quality_rows(docs: DataFrame, model: QualityModel | None, kept_only: bool =
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shipped.value
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", AT_ONCE):
             texts = [t or "" for t in batch.column(at_text).to_pylist()]
             words = [t.encode().split() for t in texts]
             n = np.fromiter(map(len, words), np.int64, len(words))

@@ -311,6 +311,17 @@ def test_tiling_of_repeated_words():
         assert time.perf_counter() - start < 20
 
 
+def test_quality_batch_memory():
+    texts = ["some words of a text " * 50] * (quality.AT_ONCE // 1050)
+    words = [t.encode().split() for t in texts]
+    weights = np.zeros(quality.FAMILIES << quality.BITS, np.float32)
+    tracemalloc.start()
+    quality.raw_scores(texts, words, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+
+
 def test_quality_repeated_labelled_id(spark):
     """Of different texts under one labelled id the model takes the same one, however rows are dealt."""
     rows = [(k, ("the house stands by the river " if k % 2 else "buy now click here win cash ") * (1 + k % 5)) for k in range(40)]
