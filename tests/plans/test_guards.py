@@ -38,3 +38,22 @@ def test_choices_are_cut_and_temperatures_hidden_as_plain_rules_say(spark):
     assert wrong.take(3) == []
     plan = df.select(C.raw_choices(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "(?:^|\\n)\\s*(?:[O0" not in plan.replace("\n", "\\n")
+
+
+def test_lines_are_spelt_and_classed_as_plain_rules_say(spark):
+    samples = [" ", "RSC", "Na*", "K+I", "K|", "K•I", "cI -", "CL  -", "c 1 -", "Cl ·", "HCO ,-", "hco - 3", "Hco -", "HC03-", "Pco 2", "PO\t2", "0 2 saturation", "Ca 2+", "Hemoglobin A 1c", "hemoglobin a 2", "Thyroxine ( T 4 )", "Day3", "lgA",
+               "y-Glutamyltransferase", "F102", "cm  Hp", "mm Hp", "mmH20", "mEa/LI", "4, mg", "4,µg", "|", "HDL cholesterol", "LDL - cholesterol", "Cholesterol,  total", "5/MM 3", "2 million /mm 3", "µm 3", "μm 3", "N=0o/o"]
+    others = [" ", "  ", "\t", "a", "day", "Serum", "12", "mg/dL", "negative", "which of the following", "x" * 60, "Hematocrit", ",", "-", "of", "?"]
+    df = spark.createDataFrame([(s,) for s in samples + others], "t string").unionByName(drawn(spark, samples + others * 4, 10000, 5, 11))
+    plain = trim(_replaced(F.col("t"), labs.SPELLING))
+    both = df.select("t", labs.normalize_token(F.col("t")).alias("a"), plain.alias("b"), labs.is_misspelt(F.col("t")).alias("m")).cache()
+    assert both.where("a <> b").take(3) == []
+    assert both.where("not m").count() > 500
+    value = (F.col("b") != "") & ~F.rlike("b", F.lit(labs.STOP)) & ~F.rlike("b", F.lit("(?i)which of the following")) & (F.lit(False) if not labs.VALUE_LINES else F.rlike("b", F.lit("|".join(labs.VALUE_LINES))))
+    assert both.where(labs.is_value(F.col("b")) != value).take(3) == []
+
+
+def test_gaps_and_prompts_keep_lines_of_their_own(spark):
+    text = "He has\npain.\nLaboratory\nstudies show:\nNa*  140\nwhich of the following is it?\nIntravenous infusion of which fluid?\nname\tvalue\nend of\nline"
+    got = spark.createDataFrame([(text,)], "t string").select(T.unwrap_prose(F.col("t"))).first()[0]
+    assert "\nwhich of the following is it?\nIntravenous infusion of which fluid?\nname\tvalue\nend of line" in got and "\nNa*  140\n" in got
