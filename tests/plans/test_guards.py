@@ -53,6 +53,28 @@ def test_lines_are_spelt_and_classed_as_plain_rules_say(spark):
     assert both.where(labs.is_value(F.col("b")) != value).take(3) == []
 
 
+def test_the_beginning_of_a_text_tells_the_same_of_glyphs(spark, monkeypatch):
+    """With a beginning of a few characters both ways are taken; both agree with all pairs and words of the text."""
+    words = ["anx", "iety", "numb", "ness", "the", "of", "pain", "a", "l", "likel", "y", "x1", "Heart", "éab", "patients", "is"]
+    df = drawn(spark, [w + b for w in words for b in (" ", " ", "\n", ", ")], 8000, 14, 3)
+    kept = set(P.KEEP_WORDS)
+
+    def told(t):
+        both = [m.split(" ") for m in re.findall(r"\b[A-Za-z]{2,5} [a-z]{3,7}\b", t, re.ASCII)]
+        left = re.findall(r"\b([A-Za-z]{4,8}) [a-z]\b", t, re.ASCII)
+        tokens = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if re.fullmatch("[A-Za-z]{2,}", w)]
+        odd = sum(len(w) <= 3 and w.lower() not in kept for w in tokens)
+        broken = sum(a.lower() not in kept and b.lower() not in kept for a, b in both) + sum(w.lower() not in kept for w in left)
+        return broken >= 2 or (len(tokens) >= 8 and odd >= 0.12 * len(tokens))
+
+    for size in (30, 700):
+        monkeypatch.setattr(glyph, "BEGINNING", size)
+        got = df.select("t", glyph.spaced_glyphs(F.col("t")).alias("flag")).collect()
+        assert [r.t for r in got if r.flag != told(r.t)] == []
+    assert 500 < sum(r.flag for r in got) < 7500
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(glyph.spaced_glyphs(F.col("t"))).first()[0] is None
+
+
 def test_gaps_and_prompts_keep_lines_of_their_own(spark):
     text = "He has\npain.\nLaboratory\nstudies show:\nNa*  140\nwhich of the following is it?\nIntravenous infusion of which fluid?\nname\tvalue\nend of\nline"
     got = spark.createDataFrame([(text,)], "t string").select(T.unwrap_prose(F.col("t"))).first()[0]
