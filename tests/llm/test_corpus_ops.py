@@ -181,6 +181,21 @@ def test_lm_slot_is_priced_in_parts():
     assert list(zip(*(c.to_pylist() for c in got.columns))) == want
 
 
+def test_lm_query_prices_words_behind_words(spark, sf, tmp_path):
+    """The query's losses are those of a word behind the word before it, backed by single words over one vocabulary."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).select("doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    spark.createDataFrame([(r.doc_id, k % 2, 0) for k, r in enumerate(found)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    words = [(r.doc_id, (r.text or "").encode().split(), k % 2) for k, r in enumerate(found)]
+    size = len({w for _, ws, _ in words for w in ws})
+    losses = [plain_word_losses([ws for _, ws, good in words if k or good], size) for k in (0, 1)]
+    want = {i: [sum(f(v, w) for v, w in zip([None, *ws], ws)) / len(ws) for f in losses] for i, ws, _ in words if ws}
+    got = {r.doc_id: [r.target_loss, r.background_loss] for r in queries.op2_lm(spark, str(tmp_path)).collect() if r.n_tokens}
+    assert got.keys() == want.keys()
+    assert all(a == pytest.approx(b, abs=2e-6) for i in want for a, b in zip(got[i], want[i]))
+
+
 def test_lm_query_counts_words(spark, sf):
     got = {r.doc_id: r.n_tokens for r in queries.op2_lm(spark, sf).collect()}
     assert got == {i: len((t or "").encode().split()) for i, t in texts(spark, sf).items()}
