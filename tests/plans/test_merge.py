@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itembank.functions.text import vignette_fingerprint
 from itembank.operators import assemble as A
 from itembank.plans import bank
+from itembank.sources import derive
 
 DRAFT = (
     "set_id string, item int, stem string, choices array<struct<label:string,text:string>>, key string, explanation string, warnings array<string>, "
@@ -28,6 +29,19 @@ def test_merge_returns_every_item(spark, sf):
     assert len(pages) == len(set(pages)) and any(got[k][0] for k in every - set(answered))
 
 
+def test_merge_returns_all_that_merging_makes(spark, tmp_path):
+    texts = ["A woman comes to the office with a rash on both hands that has spread since she changed her soap.", "He lives in the mountains and keeps two dogs and a parrot at his cottage."]
+    spark.createDataFrame([(k, "a", t) for k, t in enumerate(texts, 1)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for table in derive.TABLES[1:]:
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = {r.item: r for r in bank.QUERIES["merge_q_and_a"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts, 1):
+        row = rows[k]
+        assert text in row.stem and row.stem.endswith("Which of the following is the most likely diagnosis?")
+        assert len(row.choices.split("|")) == 5 and row.explanation.startswith(f"Correct Answer: {row.key}.") and row.warnings == ""
+        assert (row.question_page, row.answer_page, row.answer_pages, row.needs_figure, row.needs_table) == (k, 2 * k, str(2 * k), False, False)
+
+
 def score(left, right):
     if not left or not right:
         return 0.0
